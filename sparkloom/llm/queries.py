@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import vocabulary_path
 from .common import fresh_path, table
 from .packing import pack
+from .secrets import scan_documents
 from .token_output import read_tokens, token_digests, write_tokens
+from .warc import assemble, capture_digests, read_records, write_archives
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,33 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_tokens(spark, out))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fresh_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), out, min_bytes=0)
+    return capture_digests(assemble(read_records(spark, out, payloads=False)))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
+#: Base32 of a SHA-1: each of 32 letters from 5 bits of the hexadecimal digest.
+_BASE32 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h || '00', CAST((i * 5) // 4 + 1 AS INTEGER), 3))::INTEGER >> CAST(7 - (i * 5) % 4 AS INTEGER)) & 31), 1)), 'string_agg', '')"""
+
+_SQL = {
+    "op5_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        m AS (SELECT h, max(page_id) AS largest FROM p GROUP BY h)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < largest THEN largest END AS refers_to
+        FROM p JOIN m USING (h)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
