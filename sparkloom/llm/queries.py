@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary_path
 from .common import fresh_path, table
+from .fingerprint import edited_likeness
 from .packing import pack
 from .secrets import scan_documents
 from .token_output import read_tokens, token_digests, write_tokens
+from .topk import top_k
 from .warc import assemble, capture_digests, read_records, write_archives
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=2)
 
@@ -30,6 +37,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_digests(assemble(read_records(spark, out, payloads=False)))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
@@ -39,6 +50,13 @@ _BASE32 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDE
     1 + ((('0x' || substr(h || '00', CAST((i * 5) // 4 + 1 AS INTEGER), 3))::INTEGER >> CAST(7 - (i * 5) % 4 AS INTEGER)) & 31), 1)), 'string_agg', '')"""
 
 _SQL = {
+    "op1_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id,
+                CAST(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])), 0) AS BIGINT) AS score
+            FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         m AS (SELECT h, max(page_id) AS largest FROM p GROUP BY h)
         SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
