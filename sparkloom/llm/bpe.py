@@ -39,6 +39,12 @@ def ids_bytes(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+def byte_stand_ins() -> dict[str, int]:
+    """The byte of each character of byte-level vocabularies: printable ones stand for themselves, the others follow 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
 class ByteLevelEncoder:
     """ids of a text as the library gives them with add_special_tokens=False, as little-endian uint32 bytes."""
 
@@ -56,9 +62,7 @@ class ByteLevelEncoder:
         spec = json.loads(self.library.to_str())
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             return None
-        # fixed values: the printable stand-ins of bytes in byte-level vocabularies
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        byte_of = byte_stand_ins()
         special = {x["content"] for x in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         # fixed value: the split pattern of this pre-tokenizer
