@@ -31,7 +31,9 @@ THRESHOLD = 0.7
 WORD_BITS, GRAM_BITS, DIM, HIDDEN = 17, 18, 6, 8
 EPOCHS, BATCH, RATE = 4, 256, 0.02
 #: Small samples are gone over more often.
-MOST_EPOCHS, FULL_SAMPLE = 12, 3000
+MOST_EPOCHS, FULL_SAMPLE = 16, 3000
+#: Of embeddings; low, so that a rare word keeps near what its counts say.
+EMBEDDING_RATE = 0.003
 #: Words of a worker's cache of inputs.
 CACHE_WORDS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # fixed value: the odd number next to 2^64 over the golden ratio
@@ -229,7 +231,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 total = np.zeros((len(b), DIM), np.float32)
                 np.add.at(total, at, grad)
                 squares[name][b] += (total * total).mean(axis=1)  # Adagrad
-                getattr(net, name)[b] -= RATE * total / np.sqrt(squares[name][b])[:, None]
+                getattr(net, name)[b] -= EMBEDDING_RATE * total / np.sqrt(squares[name][b])[:, None]
         gates = net.gates(net.inputs(feats))
         score = np.concatenate([net.forward(gates[0][t], gates[1][t], m) for t, m in (view(k) for k in np.array_split(np.arange(len(owner)), max(1, len(owner) // 2048)))])
     return net
