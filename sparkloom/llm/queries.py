@@ -11,6 +11,7 @@ from .bpe import vocabulary_path
 from .chunked_bpe import encode_documents
 from .common import fresh_path, table
 from .fingerprint import edited_likeness
+from .jaccard import document_components
 from .packing import pack
 from .secrets import scan_documents
 from .token_output import read_tokens, token_digests, write_tokens
@@ -61,6 +62,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_components(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
