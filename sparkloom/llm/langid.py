@@ -240,6 +240,7 @@ def keep_identified(df: DataFrame, models, languages: list[str] | None = None, m
     """The rows of df (every column) whose language is determined and, where languages are given, one of them."""
     if not models.value.names:
         return df.limit(0)
+    names = df.columns
 
     def run(batches):
         for batch in batches:
@@ -247,7 +248,7 @@ def keep_identified(df: DataFrame, models, languages: list[str] | None = None, m
             keep = p.max(axis=1, initial=0) >= min_confidence
             if languages is not None and len(p):
                 keep &= np.isin(np.array(models.value.names)[p.argmax(axis=1)], languages)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(df.columns)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
     bound_batches(df.sparkSession)
     return with_priors(df, models).select(*df.columns, "__n", "__share", "__domain").mapInArrow(run, df.schema)
