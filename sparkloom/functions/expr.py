@@ -902,7 +902,7 @@ def _spearman(pairs: Column) -> Column:
                 runs = F.zip_with(F.slice(heads, 1, F.size(heads) - 1), F.slice(heads, 2, F.size(heads) - 1), lambda a, b: F.array_repeat((a + b - 1) / 2.0, (b - a).cast("int")))
                 return F.transform(F.array_sort(F.zip_with(o, F.flatten(runs), lambda x, r: F.struct(x["i"].alias("i"), r.alias("r")))), lambda x: x["r"])
 
-            return let(_heads(F.transform(o, lambda x: x["v"])), spread)
+            return let(let(F.transform(o, lambda x: x["v"]), _heads), spread)
 
         return let(F.array_sort(F.transform(p, lambda x, i: F.struct(x[key].alias("v"), i.alias("i")))), of)
 
