@@ -129,7 +129,7 @@ class Languages:
     def evidence(self, rows: dict[str, list]) -> tuple[np.ndarray, list[str], list[str | None], list[str | None]]:
         """Log evidence without priors, hosts, declared and address languages."""
         n = len(next(iter(rows.values()), []))
-        pages, texts, urls, sources = (rows.get(k) or [None] * n for k in ("html", "text", "url", "source"))
+        pages, texts, urls, sources = ([x if x is None else str(x) for x in rows.get(k) or [None] * n] for k in ("html", "text", "url", "source"))
         declared = [h and declared_language(h) for h in pages]
         found = [address(u) for u in urls]
         hosts = [h or s or "" for (h, _), s in zip(found, sources)]
@@ -190,7 +190,7 @@ def _host_column(df: DataFrame):
     def host(url: pd.Series) -> pd.Series:
         return url.map(lambda u: address(u)[0])
 
-    return F.coalesce(F.nullif(host("url"), F.lit("")), source)
+    return F.coalesce(F.nullif(host(F.col("url").cast("string")), F.lit("")), source)
 
 
 def with_priors(df: DataFrame, models) -> DataFrame:
