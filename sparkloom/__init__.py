@@ -18,3 +18,4 @@ from .sources.json import read_json
 from .types import Array, Binary, Boolean, Date, Datetime, Decimal, Duration, Float, Float32, Float64, Int8, Int16, Int32, Int64, Integer, Nested, Null, Numeric, Object, SignedInteger, Struct, Temporal, Time, UInt8, UInt16, UInt32, UInt64, UnsignedInteger, Utf8
 
 readCsv, readJson, seqRange = read_csv, read_json, seq_range
+all = all_  # noqa: A001

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import InvalidArgumentError
-from .expr import CamelNames, Expr, _counts, _modes, let, to_expr, truthy
+from .expr import CamelNames, Expr, _modes, let
 
 
 def _sound(a: Column) -> Column:
@@ -97,7 +96,7 @@ class ArrNamespace(CamelNames):
         return self._map(lambda a: F.when(a.isNotNull(), F.size(F.array_except(F.array(*map(F.lit, items)), a)) == 0) if items else F.when(a.isNotNull(), F.lit(True)))
 
     def contains_any(self, items) -> Expr:
-        return self._map(lambda a: F.exists(a, lambda x: x.isin(list(items))).eqNullSafe(F.lit(True)) if items else F.lit(False))._map(lambda c, _: c)
+        return self._map(lambda a: F.when(a.isNotNull(), F.coalesce(F.exists(a, lambda x: x.isin(list(items))), F.lit(False)) if items else F.lit(False)))
 
     def count_matches(self, item) -> Expr:
         return self.expr._binary(item, lambda a, b, _: F.when(a.isNotNull(), F.size(F.filter(a, lambda x: x.eqNullSafe(b)))))

@@ -20,18 +20,18 @@ from ..types import DType, TypeClass, clean_number, coerce, is_float, is_time
 
 
 def snake(name: str) -> str:
-    return re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", name).lower()
+    return re.sub(r"(?<=[a-z0-9])([A-Z])|(?<=[A-Z])([A-Z])(?=[a-z])", r"_\1\2", name).lower()
 
 
 class CamelNames:
     """Every method answers to its camelCase name, too."""
 
     def __getattr__(self, name: str):
-        other = snake(name)
-        if name.startswith("_") or other == name:
+        if name.startswith("_"):
             raise AttributeError(name)
+        other = snake(name)
         for form in (other, other + "_"):
-            if hasattr(type(self), form):
+            if form != name and hasattr(type(self), form):
                 return getattr(self, form)
         raise AttributeError(name)
 
