@@ -4,16 +4,16 @@ Which documents are linked: those whose sets of word shingles have a Jaccard sim
 Equal sets are one vertex. Pairs of different sets meet where they share a shingle of their prefixes (the rarest
 `n - ceil(0.8 n) + 1` of each; two linked sets always do); rarity is known for heavy shingles only, any order is exact.
 
-1. Each set is verified against a few sets that follow it in shared prefix shingles, in a random order of their own.
-   The links join large groups of near copies into components without comparing all their pairs.
+1. Each set meets a few sets that follow it in shared prefix shingles, in a random order of each shingle's own. The
+   links join large groups of near copies into components without comparing all their pairs.
 2. Shingles whose sets still lie in different components are settled in cells of bounded size (a frequent shingle is
    split into blocks, each pair of blocks a cell). In a cell every set is a point: its shingles are hashed into `GROUPS`
    groups, and the group counts are indexed in an R-tree. The sum of coordinate minima bounds the overlap with a point,
    or with all points of a node; what the bound leaves is verified exactly, unless one component holds both.
 3. Components of all links, by label propagation with pointer jumping, give each document its class.
 
-Vertices and shingles are 64-bit hashes (n sets collide with a chance of n^2 / 2^65). Sets are gathered only for
-vertices in shared buckets, which a Bloom filter of fixed size preselects while texts are read.
+Vertices and shingles are 64-bit hashes (n sets collide with a chance of n^2 / 2^65). Whole sets are shuffled only for
+pairs that the bound leaves, in blocks of pairs: a Bloom filter of fixed size picks them while the texts are read again.
 
 Edge cases: null text, or text without words, has the empty set and links with nothing; fewer words than a shingle's are
 one shingle; rows that repeat a doc_id each keep a row; a null doc_id never names a component unless alone in it; an
@@ -23,6 +23,7 @@ empty table gives an empty table; other columns are ignored. Texts are read whol
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 from .common import bound_batches, shared_dir, stored, whole_text
 
 WORDS, SIMILARITY = 5, 80
-GROUPS = 128
+GROUPS = 512
 #: A shingle counts as heavy from so many documents on; so many heavy ones at most are told to all tasks.
 HEAVY_LOCAL, HEAVY, MOST_HEAVY = 4, 32, 400_000
 #: Partners of a set in the first pass.
 PARTNERS = 3
-CELL = 256
+CELL = 1024
 LEAF = 16
+#: Pairs of a block that is verified at once.
+BLOCK_PAIRS = 10_000
 BLOOM_BITS = 24
 _U = np.uint64
 #: fixed values: odd constants of multiplicative hashing
@@ -120,11 +123,20 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def count_vector(shingles: np.ndarray) -> tuple[bytes, int]:
+    """Group counts as bytes, and what they leave out of groups that are fuller."""
+    counts = np.bincount((shingles >> _U(20)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), int(np.maximum(counts - 255, 0).sum())
+
+
+_FIRST = "kind int, doc_id long, n long, key long, counts binary, excess long"
+
+
 def _describe(words: int):
-    """(kind 0) doc_id, n, vertex of each document; (kind 1) a shingle that a part of the task holds often, and how often."""
+    """(kind 0) doc_id, size, vertex and count vector of each document; (kind 1) a shingle that a part of the task holds often, and how often."""
 
-    def row(kind, doc_id, n, key):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.int32()), doc_id, n, key], names=["kind", "doc_id", "n", "key"])
+    def row(kind, *columns):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(columns[0]), pa.int32()), *columns], names=[x.split()[0] for x in _FIRST.split(", ")])
 
     def run(batches):
         held, size = [], 0
@@ -132,11 +144,13 @@ def _describe(words: int):
         def heavy():
             value, count = np.unique(np.concatenate(held), return_counts=True)
             often = count >= HEAVY_LOCAL
-            return row(1, pa.nulls(int(often.sum()), pa.int64()), pa.array(count[often], pa.int64()), _signed(value[often]))
+            n = int(often.sum())
+            return row(1, pa.nulls(n, pa.int64()), pa.array(count[often], pa.int64()), _signed(value[often]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()))
 
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
-            yield row(0, batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([vertex(s) if len(s) else None for s in sets], pa.int64()))
+            vectors = [count_vector(s) for s in sets]
+            yield row(0, batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([vertex(s) if len(s) else None for s in sets], pa.int64()), pa.array([v for v, _ in vectors], pa.binary()), pa.array([e for _, e in vectors], pa.int64()))
             held += sets
             size += sum(map(len, sets))
             if size > 2_000_000:
@@ -197,12 +211,6 @@ def _buckets(batches):
         yield pa.RecordBatch.from_arrays([_signed(np.array([x], dtype=np.uint64)) for x in (last[0], own, last[2])], names=["token", "vertex", "previous"])
 
 
-def count_vector(shingles: np.ndarray) -> tuple[bytes, int]:
-    """Group counts as bytes, and what they leave out of groups that are fuller."""
-    counts = np.bincount((shingles >> _U(20)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), int(np.maximum(counts - 255, 0).sum())
-
-
 def _gather(words: int, bloom):
     def run(batches):
         bits, seen = bloom.value, set()
@@ -211,31 +219,53 @@ def _gather(words: int, bloom):
             for s in shingle_sets(batch.column(0).to_pylist(), words):
                 if len(s) and (v := vertex(s)) not in seen and bits[(v & (1 << BLOOM_BITS) - 1) >> 3] >> (v & 7) & 1:
                     seen.add(v)
-                    rows.append((v, len(s), *count_vector(s), s.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], names=["vertex", "n", "counts", "excess", "shingles"])
+                    rows.append((v, s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 2, [pa.int64(), pa.binary()])], names=["vertex", "shingles"])
 
     return run
 
 
-def _verify(batches):
+def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs (a, b) of a block whose sets are similar enough; sets: vertex, shingles."""
+    of = {v: np.frombuffer(x.as_buffer(), dtype=np.uint64) for v, x in zip(sets.column("vertex").to_pylist(), sets.column("shingles"))}
+    pairs = pairs.select(["a", "b"])
+    keep = []
+    for x, y in zip(*(c.to_pylist() for c in pairs.columns)):
+        both = np.sort(np.concatenate([of[x], of[y]]), kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        keep.append(100 * common >= SIMILARITY * (len(both) - common))
+    return pairs.filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
+
+    Pairs are dealt in blocks by both their vertices, so that a set travels once for each of its blocks, not for each of
+    its pairs, and a block's size stays bounded however many pairs a vertex has.
+    """
+    bloom = _bloom(pairs.select(F.explode(F.array("a", "b")).alias("vertex")))
+    sets = stored(texts.mapInArrow(_gather(words, bloom), "vertex long, shingles binary").groupBy("vertex").agg(F.min("shingles").alias("shingles")), "sets")
+    side = max(1, math.ceil(math.sqrt(pairs.count() / BLOCK_PAIRS)))
+    at = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(side))
+    dealt = pairs.withColumn("block", at("a") * side + at("b"))
+    need = dealt.select(F.col("block").alias("of"), F.explode(F.array("a", "b")).alias("vertex")).distinct().join(sets, "vertex")
+    return dealt.groupBy("block").cogroup(need.groupBy("of")).applyInArrow(_verify, "a long, b long")
+
+
+def _bounded_batches(batches):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            a, b = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-            both = np.sort(np.concatenate([a, b]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= SIMILARITY * (len(a) + len(b) - common))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        n = len(batch)
+        v = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(n, GROUPS) for k in (2, 3)]
+        excess, size = (np.stack([batch.column(k).to_numpy() for k in ks]) for ks in ((4, 5), (6, 7)))
+        bound = np.minimum(*v).sum(axis=1, dtype=np.int64) + excess.min(axis=0)
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((100 + SIMILARITY) * bound >= SIMILARITY * size.sum(axis=0)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; sizes too far apart never meet."""
-    s = sets.select("vertex", "n", "shingles")
-    left = pairs.join(s.select(F.col("vertex").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a")
-    both = left.join(s.select(F.col("vertex").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")), "b")
-    near = both.filter((100 * F.col("n_a") >= SIMILARITY * F.col("n_b")) & (100 * F.col("n_b") >= SIMILARITY * F.col("n_a")))
-    return near.select("a", "b", "s_a", "s_b").mapInArrow(_verify, "a long, b long")
+def bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose count vectors leave a chance."""
+    side = lambda x: vectors.select(F.col("vertex").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("counts", "excess", "n")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", *[f"{c}_{x}" for c in ("counts", "excess", "n") for x in "ab"]).mapInArrow(_bounded_batches, "a long, b long")
 
 
 class RTree:
@@ -314,7 +344,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     texts = rows.select("text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = stored(rows.mapInArrow(_describe(words), "kind int, doc_id long, n long, key long"), "shingles")
+    first = stored(rows.mapInArrow(_describe(words), _FIRST), "shingles")
     often = first.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY).orderBy(F.desc("n"), "key").limit(MOST_HEAVY).toArrow()
     value, count = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(value)
@@ -324,13 +354,13 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     shared = stored(keys.mapInArrow(_buckets, "token long, vertex long, previous long"), "buckets")
     bound_batches(spark, 500)
-    bloom = _bloom(shared.select("vertex"))
-    sets = stored(texts.mapInArrow(_gather(words, bloom), "vertex long, n long, counts binary, excess long, shingles binary").join(shared.select("vertex").distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]), "sets")
+    described = first.filter("kind = 0 and key is not null").withColumnRenamed("key", "vertex").join(shared.select("vertex").distinct(), "vertex", "left_semi")
+    vectors = stored(described.groupBy("vertex").agg(*[F.min(c).alias(c) for c in ("n", "counts", "excess")]), "vectors")
     # 1: a few partners of each set
     near = shared.filter("previous is not null").groupBy("vertex", "previous").agg(F.count(F.lit(1)).alias("n"))
     chosen = near.groupBy("vertex").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "previous")), False), 1, PARTNERS).alias("p")).select("vertex", F.explode("p.previous").alias("other"))
     pairs = chosen.select(F.least("vertex", "other").alias("a"), F.greatest("vertex", "other").alias("b")).distinct()
-    links = stored(verified(pairs, sets), "links")
+    links = stored(verified(stored(bounded(pairs, vectors), "pairs"), texts, words), "links")
     labels = components(links)
     # 2: shingles whose sets lie in different components; of those with the same sets, one
     known = shared.select("token", "vertex").join(labels, "vertex", "left").select("token", "vertex", F.coalesce("part", "vertex").alias("part"))
@@ -340,12 +370,12 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     inside = known.join(open_tokens.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("blocks")).cast("int"))
     dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", "vertex", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    points = dealt.join(sets.select("vertex", "n", "counts", "excess"), "vertex")
+    points = dealt.join(vectors, "vertex")
     cells = points.groupBy("token", "i", "j").agg(F.collect_list(F.struct("vertex", "part", "side", "n", "counts", "excess")).alias("cell")).select("cell")
     bound_batches(spark, 64)
     found = stored(cells.mapInArrow(_cells, "a long, b long").distinct(), "candidates")
     bound_batches(spark, 500)
-    more = stored(verified(found, sets), "links")
+    more = stored(verified(found, texts, words), "links")
     labels = components(links.union(more))
     documents = first.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("vertex"))
     return documents.join(labels, "vertex", "left").select("doc_id", "n_shingles", "vertex", F.coalesce("part", "vertex").alias("part"))
