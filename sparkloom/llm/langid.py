@@ -144,9 +144,14 @@ def posterior(log_evidence: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
-    """Broadcast models from docs (text, lang): those of the lowest hashes."""
-    known = docs.filter("text is not null and lang is not null").select(F.substring("text", 1, chars).alias("text"), "lang")
-    got = known.orderBy(F.xxhash64("text"), "lang").limit(rows).collect()
+    """Broadcast models from docs (text, lang): those rows whose other columns have the lowest hashes.
+
+    Hashes alone are sorted first, so that texts of the chosen rows only are sent to the driver.
+    """
+    others = [c for c in docs.columns if c not in ("text", "html")]
+    known = docs.filter("text is not null and lang is not null").select(F.xxhash64(*others).alias("h"), F.substring("text", 1, chars).alias("text"), "lang")
+    last = known.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
+    got = [] if last is None else known.filter(F.col("h") <= last).limit(rows).collect()
     return docs.sparkSession.sparkContext.broadcast(Languages([r["text"] for r in got], [r["lang"] for r in got]))
 
 
