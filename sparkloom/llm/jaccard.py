@@ -4,13 +4,15 @@ Which documents are linked: those whose sets of word shingles have a Jaccard sim
 Equal sets are one vertex. Pairs of different sets meet where they share a shingle of their prefixes (the rarest
 `n - ceil(0.8 n) + 1` of each; two linked sets always do); rarity is known for heavy shingles only, any order is exact.
 
-1. Each set meets a few sets that follow it in shared prefix shingles, in a random order of each shingle's own. The
-   links join large groups of near copies into components without comparing all their pairs.
+1. Each set meets the hubs of its prefix shingles (the set that shares the largest part of its prefix with others) and a
+   few sets beside it in a random order of each shingle's own. The links join large groups of near copies into components
+   without comparing all their pairs.
 2. Shingles whose sets still lie in different components are settled in cells of bounded size (a frequent shingle is
    split into blocks, each pair of blocks a cell). In a cell every set is a point: its shingles are hashed into `GROUPS`
    groups, and the group counts are indexed in an R-tree. The sum of coordinate minima bounds the overlap with a point,
-   or with all points of a node; what the bound leaves is verified exactly, unless one component holds both.
-3. Components of all links, by label propagation with pointer jumping, give each document its class.
+   or with all points of a node. First each set's best partner in every other component is verified, then, of shingles
+   that are still open, every pair that the bound leaves.
+3. Components of links, by label propagation with pointer jumping over the components so far, give each document its class.
 
 Vertices and shingles are 64-bit hashes (n sets collide with a chance of n^2 / 2^65). Whole sets are shuffled only for
 pairs that the bound leaves, in blocks of pairs: a Bloom filter of fixed size picks them while the texts are read again.
@@ -37,8 +39,8 @@ WORDS, SIMILARITY = 5, 80
 GROUPS = 512
 #: A shingle counts as heavy from so many documents on; so many heavy ones at most are told to all tasks.
 HEAVY_LOCAL, HEAVY, MOST_HEAVY = 4, 32, 400_000
-#: Partners of a set in the first pass.
-PARTNERS = 3
+#: Hubs, and other partners, of a set in the first pass.
+PARTNERS = 2
 CELL = 1024
 LEAF = 16
 #: Pairs of a block that is verified at once.
@@ -294,22 +296,57 @@ class RTree:
         return order[at]
 
 
-def _cells(batches):
-    for batch in batches:
-        pairs: set[tuple[int, int]] = set()
-        for cell in batch.column(0).to_pylist():
-            key, part, side = (np.array([x[k] for x in cell], dtype=np.int64) for k in ("vertex", "part", "side"))
-            counts = np.frombuffer(b"".join(x["counts"] for x in cell), dtype=np.uint8).reshape(len(cell), GROUPS)
-            excess, size = (np.array([x[k] for x in cell], dtype=np.int64) for k in ("excess", "n"))
-            tree = RTree(counts, excess, size)
-            for k in range(len(cell)):
-                if side.any() and side[k]:
-                    continue  # two blocks: the first one's points are queries
-                hit = tree.query(counts[k], excess[k], size[k])
-                hit = hit[(part[hit] != part[k]) & ((side[hit] == 1) if side.any() else (hit > k))]
-                pairs.update((min(int(key[k]), x), max(int(key[k]), x)) for x in key[hit].tolist())
-        columns = list(zip(*pairs)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+def _cells(best: bool):
+    """Pairs of different components that the bound leaves; if best, a set's most promising one of each component only."""
+
+    def pairs_of(cell):
+        key, part, side = (np.array([x[k] for x in cell], dtype=np.int64) for k in ("vertex", "part", "side"))
+        counts = np.frombuffer(b"".join(x["counts"] for x in cell), dtype=np.uint8).reshape(len(cell), GROUPS)
+        excess, size = (np.array([x[k] for x in cell], dtype=np.int64) for k in ("excess", "n"))
+        tree, two = RTree(counts, excess, size), side.any()
+        for k in range(len(cell)):
+            if two and side[k]:
+                continue  # two blocks: the first one's points are queries
+            hit = tree.query(counts[k], excess[k], size[k])
+            hit = hit[(part[hit] != part[k]) & ((side[hit] == 1) if two else (hit > k))]
+            if best and len(hit) > 1:
+                bound = np.minimum(counts[hit], counts[k]).sum(axis=1, dtype=np.int64) / (size[hit] + size[k])
+                hit = hit[np.lexsort((-bound, part[hit]))]
+                hit = hit[np.append(True, part[hit][1:] != part[hit][:-1])]
+            for x in key[hit].tolist():
+                yield min(int(key[k]), x), max(int(key[k]), x)
+
+    def run(batches):
+        for batch in batches:
+            pairs = {p for cell in batch.column(0).to_pylist() for p in pairs_of(cell)}
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*pairs)) or [(), ()]], names=["a", "b"])
+
+    return run
+
+
+def open_pairs(shared: DataFrame, known: DataFrame, vectors: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a prefix shingle and may be similar; known: vertex, part."""
+    member = shared.select("token", "vertex").join(known, "vertex")
+    tokens = member.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("y"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    # of shingles with the same sets, one
+    tokens = tokens.groupBy("members", "x", "y").agg(F.min("token").alias("token"))
+    blocks = F.when(F.col("members") <= CELL, 1).otherwise(F.ceil(F.col("members") / (CELL // 2))).cast("int")
+    inside = member.join(tokens.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("blocks")).cast("int"))
+    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", "vertex", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    cells = dealt.join(vectors, "vertex").groupBy("token", "i", "j").agg(F.collect_list(F.struct("vertex", "part", "side", "n", "counts", "excess")).alias("cell")).select("cell")
+    bound_batches(shared.sparkSession, 64)
+    out = stored(cells.mapInArrow(_cells(best), "a long, b long").distinct(), "candidates")
+    bound_batches(shared.sparkSession)
+    return out
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known (vertex, part) after links (a, b): components of the parts that they join."""
+    side = lambda x: known.select(F.col("vertex").alias(x), F.col("part").alias(f"part_{x}"))
+    joined = links.join(side("a"), "a").join(side("b"), "b").filter("part_a <> part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+    labels = components(joined).select(F.col("vertex").alias("part"), F.col("part").alias("root"))
+    return stored(known.join(labels, "part", "left").select("vertex", F.coalesce("root", "part").alias("part")), "parts")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -356,29 +393,23 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     bound_batches(spark, 500)
     described = first.filter("kind = 0 and key is not null").withColumnRenamed("key", "vertex").join(shared.select("vertex").distinct(), "vertex", "left_semi")
     vectors = stored(described.groupBy("vertex").agg(*[F.min(c).alias(c) for c in ("n", "counts", "excess")]), "vectors")
-    # 1: a few partners of each set
-    near = shared.filter("previous is not null").groupBy("vertex", "previous").agg(F.count(F.lit(1)).alias("n"))
-    chosen = near.groupBy("vertex").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "previous")), False), 1, PARTNERS).alias("p")).select("vertex", F.explode("p.previous").alias("other"))
-    pairs = chosen.select(F.least("vertex", "other").alias("a"), F.greatest("vertex", "other").alias("b")).distinct()
-    links = stored(verified(stored(bounded(pairs, vectors), "pairs"), texts, words), "links")
-    labels = components(links)
-    # 2: shingles whose sets lie in different components; of those with the same sets, one
-    known = shared.select("token", "vertex").join(labels, "vertex", "left").select("token", "vertex", F.coalesce("part", "vertex").alias("part"))
-    open_tokens = known.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("y"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-    open_tokens = open_tokens.groupBy("members", "x", "y").agg(F.min("token").alias("token"))
-    blocks = F.when(F.col("members") <= CELL, 1).otherwise(F.ceil(F.col("members") / (CELL // 2))).cast("int")
-    inside = known.join(open_tokens.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("blocks")).cast("int"))
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "vertex", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    points = dealt.join(vectors, "vertex")
-    cells = points.groupBy("token", "i", "j").agg(F.collect_list(F.struct("vertex", "part", "side", "n", "counts", "excess")).alias("cell")).select("cell")
-    bound_batches(spark, 64)
-    found = stored(cells.mapInArrow(_cells, "a long, b long").distinct(), "candidates")
-    bound_batches(spark, 500)
-    more = stored(verified(found, texts, words), "links")
-    labels = components(links.union(more))
+    # 1: hubs and a few partners of each set
+    prefix = F.col("n") - F.floor((SIMILARITY * F.col("n") + 99) / 100) + 1
+    degree = shared.groupBy("vertex").agg(F.count(F.lit(1)).alias("tokens")).join(vectors.select("vertex", "n"), "vertex").select("vertex", (F.col("tokens") / prefix).alias("rank"))
+    hubs = shared.select("token", "vertex").join(degree, "vertex").groupBy("token").agg(F.max(F.struct("rank", "vertex"))["vertex"].alias("other"))
+    met = [shared.join(hubs, "token").filter("vertex <> other"), shared.filter("previous is not null").withColumnRenamed("previous", "other")]
+    chosen = []
+    for m in met:
+        counted = m.groupBy("vertex", "other").agg(F.count(F.lit(1)).alias("n"))
+        top = counted.groupBy("vertex").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "other")), False), 1, PARTNERS).alias("p"))
+        chosen.append(top.select("vertex", F.explode("p.other").alias("other")))
+    pairs = chosen[0].union(chosen[1]).select(F.least("vertex", "other").alias("a"), F.greatest("vertex", "other").alias("b")).distinct()
+    known = merged(vectors.select("vertex", F.col("vertex").alias("part")), stored(verified(stored(bounded(pairs, vectors), "pairs"), texts, words), "links"))
+    # 2: what the first pass leaves open
+    for best in (True, False):
+        known = merged(known, stored(verified(open_pairs(shared, known, vectors, best), texts, words), "links"))
     documents = first.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("vertex"))
-    return documents.join(labels, "vertex", "left").select("doc_id", "n_shingles", "vertex", F.coalesce("part", "vertex").alias("part"))
+    return documents.join(known, "vertex", "left").select("doc_id", "n_shingles", "vertex", F.coalesce("part", "vertex").alias("part"))
 
 
 def document_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -395,8 +426,8 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     their row may go; all others pass.
     """
     rows = stored(document_components(docs, words), "components")
-    goes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("component_id") < F.col("doc_id")).cast("int")).alias("goes"), F.count(F.lit(1)).alias("n"))
-    doubtful = goes.filter("goes = 1 or n > 1").select("doc_id", "goes")
+    goes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("component_id") < F.col("doc_id")).cast("int")).alias("__goes"), F.count(F.lit(1)).alias("n"))
+    doubtful = goes.filter("__goes = 1 or n > 1").select("doc_id", "__goes")
     bits = _bloom(doubtful.select(F.xxhash64("doc_id").alias("vertex")))
 
     @F.pandas_udf("boolean")
@@ -407,6 +438,6 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     key = F.col("doc_id").cast("long")
     marked = docs.withColumn("__key", key).withColumn("__may", may_go(F.xxhash64("__key")))
     passed = marked.filter(~F.col("__may") | F.col("__key").isNull()).select(*docs.columns)
-    asked = marked.filter(F.col("__may") & F.col("__key").isNotNull()).join(doubtful.select(F.col("doc_id").alias("__key"), "goes"), "__key", "left").filter("coalesce(goes, 0) = 0")
-    twice = asked.filter("goes = 0").dropDuplicates(["__key"])
-    return passed.unionByName(asked.filter("goes is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))
+    asked = marked.filter(F.col("__may") & F.col("__key").isNotNull()).join(doubtful.select(F.col("doc_id").alias("__key"), "__goes"), "__key", "left").filter("coalesce(__goes, 0) = 0")
+    twice = asked.filter("__goes = 0").dropDuplicates(["__key"])
+    return passed.unionByName(asked.filter("__goes is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))
