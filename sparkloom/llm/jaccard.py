@@ -45,6 +45,8 @@ CELL = 1024
 LEAF = 16
 #: Pairs of a block that is verified at once.
 BLOCK_PAIRS = 10_000
+#: Pairs that a task remembers, so as not to repeat them.
+SEEN_PAIRS = 500_000
 BLOOM_BITS = 24
 _U = np.uint64
 #: fixed values: odd constants of multiplicative hashing
@@ -317,8 +319,12 @@ def _cells(best: bool):
                 yield min(int(key[k]), x), max(int(key[k]), x)
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()  # a pair meets once for every shingle that it shares
         for batch in batches:
-            pairs = {p for cell in batch.column(0).to_pylist() for p in pairs_of(cell)}
+            pairs = {p for cell in batch.column(0).to_pylist() for p in pairs_of(cell)} - seen
+            if len(seen) > SEEN_PAIRS:
+                seen.clear()
+            seen |= pairs
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*pairs)) or [(), ()]], names=["a", "b"])
 
     return run
