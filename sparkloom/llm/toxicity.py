@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, whole_text
 
 WINDOW, STRIDE = 32, 16
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 12_000
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 12_000
 THRESHOLD = 0.7
 WORD_BITS, GRAM_BITS, DIM, HIDDEN = 17, 18, 6, 8
 EPOCHS, BATCH, RATE = 4, 256, 0.02
@@ -171,12 +171,13 @@ def _windows(counts: list[int]):
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     r, net = np.random.default_rng(seed), Network(seed)
-    split = [tokens(t) for t in texts]
-    vocabulary = list(dict.fromkeys(w for words in split for w in words)) or [""]
-    place = {w: k for k, w in enumerate(vocabulary)}
-    word, grams, first = feats = features(vocabulary)
+    place: dict[str, int] = {}
+    ids = []
+    for t in texts:
+        words = tokens(t)
+        ids.append(np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int64, count=len(words)))
+    word, grams, first = feats = features(list(place) or [""])
     ends = np.append(first[1:], len(grams))
-    ids = [np.array([place[w] for w in words], dtype=np.int64) for words in split]
     y = np.array(labels)
     # first coordinates begin as shrunk log odds over the texts that hold a bucket
     for table, buckets in ((net.word, lambda k: word[k]), (net.gram, lambda k: np.concatenate([grams[first[i] : ends[i]] for i in k]) if len(k) else k)):
