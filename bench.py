@@ -9,7 +9,7 @@ import time
 from sparkloom.plans import catalog
 from sparkloom.plans.session import session
 
-HEADLINE = ["pricing_summary", "agg_stats", "agg_first_last_by", "join_inner", "join_outer", "join_asof_backward", "join_asof_nearest", "win_cum", "win_rolling", "win_rank", "win_over_agg", "dyn_tumbling", "dyn_sliding", "dyn_calendar_month", "pivot_last", "unique_first", "row_index", "str_regex", "dt_fields", "math_binary_guarded", "horizontal_ops", "arr_stats"]
+HEADLINE = ["pricing_summary", "agg_stats", "agg_first_last_by", "join_inner_whole", "join_outer_whole", "join_asof_backward", "join_asof_nearest", "win_cum", "win_rolling", "win_rank", "win_over_agg", "dyn_tumbling", "dyn_sliding", "dyn_calendar_month", "pivot_last", "unique_first", "row_index", "str_regex", "dt_fields", "math_binary_guarded", "horizontal_ops", "arr_stats"]
 
 
 def main() -> None:

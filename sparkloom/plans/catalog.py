@@ -188,6 +188,18 @@ for _how, _sql_how in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"),
     _join_query(f"join_{_how}", _how, _sql_how)
 
 
+def _whole_join_query(how: str, sql_how: str):
+    def f(t):
+        return t("customer").join(t("orders"), left_on="c_custkey", right_on="o_custkey", how=how).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+    f.__name__ = f"join_{how}_whole"
+    query(f"SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey, o_totalprice FROM customer {sql_how} JOIN orders ON c_custkey = o_custkey")(f)
+
+
+for _how, _sql_how in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
+    _whole_join_query(_how, _sql_how)
+
+
 @query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)""")
 def join_semi(t):
     return t("customer").join(t("orders").filter(col("o_totalprice") > 200000), left_on="c_custkey", right_on="o_custkey", how="semi").select("c_custkey", "c_name")

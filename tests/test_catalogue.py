@@ -39,3 +39,15 @@ def test_query_agrees_with_sql(spark, oracle, name):
     names = [d[0] for d in want.description]
     assert sorted(made.columns) == sorted(names)
     assert rows(made.columns, made.collect(), names) == rows(names, want.fetchall(), names)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_whole_joins_take_every_row(spark, tmp_path, how):
+    spark.createDataFrame([(k, f"c{k}") for k in range(1, 8)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, c, float(k)) for k, c in enumerate([1, 1, 2, 4, 5, 9, 10], 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = [(c, f"c{c}", o, p) for o, c, p in orders if c < 8]
+    want += [(c, f"c{c}", None, None) for c in (3, 6, 7) if how in ("left", "outer")]
+    want += [(c, None, o, p) for o, c, p in orders if c > 7 and how in ("right", "outer")]
+    made = catalog.queries()[f"join_{how}_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, made))) == sorted(map(str, want))
