@@ -378,6 +378,13 @@ def explode_lists(t):
     return out.df.select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
 
 
+@query("""SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""")
+def explode_lists_whole(t):
+    d = t("documents").select("doc_id", col("text").str.split(" ").alias("word"))
+    out = d.with_columns(seq_pos("word").alias("pos")).explode(["word", "pos"])
+    return out.df.select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
+
+
 def seq_pos(name: str):
     return col(name)._map(lambda c, _: F.transform(c, lambda x, i: i))
 

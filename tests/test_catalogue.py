@@ -51,3 +51,10 @@ def test_whole_joins_take_every_row(spark, tmp_path, how):
     want += [(c, None, o, p) for o, c, p in orders if c > 7 and how in ("right", "outer")]
     made = catalog.queries()[f"join_{how}_whole"](spark, str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, made))) == sorted(map(str, want))
+
+
+def test_explode_takes_whole_texts(spark, tmp_path):
+    texts = ["", "one", " two  three ", " ".join(f"w{k}" for k in range(30_000)), "x" * 90 + " end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalog.queries()["explode_lists_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["pos"], r["word"]) for r in made) == [(k, i, w) for k, t in enumerate(texts) for i, w in enumerate(t.split(" "))]
