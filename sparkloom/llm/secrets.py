@@ -7,7 +7,8 @@ propagates constants (a sensitive name that is set to another name takes that na
 the sensitivity of its target names and by its own shape.
 
 Offsets are code points, ends exclusive. Null text is empty; an empty text has no spans; rows that repeat are scanned
-each on its own; an empty table gives an empty table; other columns of the input are ignored. Time is linear in the text.
+each on its own; an empty table gives an empty table; other columns of the input are ignored. Names, blanks and literals
+have no longest length. Time is linear in the text.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ _MIN_ASSIGN, _LONGEST_KEYWORD = 6, 8
 #: Sensitivity of the words of a name.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "private": 0.5, "signing": 0.5, "key": 0.5, "access": 0.3, "client": 0.2, "bearer": 0.7, "session": 0.3, "api": 0.4}
 _OPERATOR = re.compile("[:=]")
-_NAME = re.compile(r"([A-Za-z_][\w.\-]{0,79})[\"'\]]{0,2}[ \t]{0,8}\Z", re.A)
-_LITERAL = re.compile(r"[>=]?[ \t]{0,8}(?:\"((?:[^\"\\\n]|\\.){1,512})\"|'((?:[^'\\\n]|\\.){1,512})'|([A-Za-z0-9+/_.=@%~$-]{1,512}))")
+#: A name read backwards from its operator, and what follows an operator: a quoted literal, or the first character of another.
+_NAME = re.compile(r"[ \t]*+[\"'\]]{0,2}+([\w.\-]*[A-Za-z_])", re.A)
+_LITERAL = re.compile(r"[>=]?[ \t]*+(?:\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|([A-Za-z0-9+/_.=@%~$-]))")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=@%~$-]+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -79,40 +82,73 @@ def name_score(name: str) -> float:
 
 def literal_score(literal: str) -> float:
     """0 to 1: long, mixed and far from a plain word."""
-    if len(literal) < 6:
+    return _shape_score(Counter(literal), len(literal))
+
+
+def _shape_score(counts: Counter, length: int) -> float:
+    if length < 6:
         return 0.0
-    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in Counter(literal[:256]).values())
-    kinds = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search("[0-9]", literal), re.search("[^A-Za-z0-9]", literal))))
-    return min(1.0, 0.25 * (len(literal) >= 8) + 0.15 * (kinds - 1) + min(entropy, 4.0) / 8)
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values())
+    kinds = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "" for c in counts})
+    return min(1.0, 0.25 * (length >= 8) + 0.15 * (kinds - 1) + min(entropy, 4.0) / 8)
 
 
-def assignments(text: str, operators: list[int] | None = None) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) of each assignment, in order."""
-    out = []
+def assignments(text: str, operators: list[int] | None = None) -> list[tuple[str, int, int, bool]]:
+    """(name, start of its literal, end, quoted) of each assignment, in order.
+
+    Names and blanks end at the operator before and quoted literals at the next such quote. Literals without quotes may
+    hold operators: all that end together share one scan.
+    """
+    out, before, run = [], -1, 0
     for p in _operators(text) if operators is None else operators:
-        name = _NAME.search(text, max(0, p - 96), p)
+        name = _NAME.match(text[before + 1 : p][::-1])
         literal = name and _LITERAL.match(text, p + 1)
         if literal:
-            k = next(i for i in (1, 2, 3) if literal[i] is not None)
-            out.append((name[1], literal[k], literal.start(k), literal.end(k), k < 3))
+            k = literal.lastindex
+            start, end = literal.span(k)
+            if k == 3:
+                if start >= run:
+                    run = _RUN.match(text, start).end()
+                end = run
+            out.append((name[1][::-1], start, end, k < 3))
+        before = p
+    return out
+
+
+def _scores(text: str, pairs: list[tuple[str, int, int, bool]], wanted: set[int]) -> dict[int, float]:
+    """literal_score of the pairs wanted: literals that end together are counted from the last on, each character once."""
+    out, counts, at, last = {}, Counter(), 0, -1
+    for k in sorted(wanted, reverse=True):
+        _, s, e, quoted = pairs[k]
+        if quoted:
+            out[k] = literal_score(text[s:e])
+            continue
+        if e != last:
+            counts, at, last = Counter(), e, e
+        counts.update(text[s:at])
+        at = s
+        out[k] = _shape_score(counts, e - s)
     return out
 
 
 def named_spans(text: str, operators: list[int] | None = None, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     pairs = assignments(text, operators)
-    known = {name: (literal, s, e, quoted) for name, literal, s, e, quoted in pairs}
-    found = set()
-    for name, literal, s, e, quoted in pairs:
+    known = {name: k for k, (name, *_) in enumerate(pairs)}
+    targets = []
+    for k, (name, *_) in enumerate(pairs):
         score = name_score(name)
         if not score:
             continue
         seen = {name}
-        while not quoted and literal in known and literal not in seen:  # a name: take what it was set to
+        while True:  # a name: take what it was set to
+            _, s, e, quoted = pairs[k]
+            if quoted or text.find("=", s, e) >= 0 or (literal := text[s:e]) not in known or literal in seen:
+                break
             seen.add(literal)
-            literal, s, e, quoted = known[literal]
-        if score * literal_score(literal) >= threshold:
-            found.add((s, 3, e))
-    return sorted(found)
+            k = known[literal]
+        targets.append((score, k))
+    scores = _scores(text, pairs, {k for _, k in targets})
+    return sorted({(pairs[k][1], 3, pairs[k][2]) for score, k in targets if score * scores[k] >= threshold})
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -74,6 +75,31 @@ def test_lexer_follows_constants():
     assert secrets.named_spans("a = b\nb = a\npassword = a") == []
 
 
+def test_lexer_reads_to_real_ends():
+    key = "".join(R.choice("abcdefABCDEF0123456789+/") for _ in range(900))
+    hexed = "".join(R.choice("0123456789ABCDEF") for _ in range(6000))
+    wide, long = " " * 30, "db_credential_" + "x" * 200 + "Of_Service"
+    for t, secret in [
+        (f'{{"private_key": "{key}"}}', key),
+        (f"private_key: {key} end", key),
+        (f'private_key = "{hexed}"', hexed),
+        (f'db_credential{wide}={wide}"Zq9xLw81Kd72Pm"', "Zq9xLw81Kd72Pm"),
+        (f'{long} = "Zq9xLw81Kd72Pm"', "Zq9xLw81Kd72Pm"),
+        (f'{long} = "Zq9xLw81Kd72Pm"\nfield = {long}', "Zq9xLw81Kd72Pm"),
+    ]:
+        assert [t[s:e] for s, k, e in secrets.scan(t) if k == 3] == [secret]
+        assert secret[-300:] not in secrets.redact(t)
+
+
+def test_lexer_takes_linear_time():
+    for piece in ("db_credential=", 'a="', "a='\\", "a= ", "a  ", "key.a-"):
+        began = time.process_time()
+        secrets.scan(piece * (400_000 // len(piece)))
+        assert time.process_time() - began < 20
+    t = "my_auth_key=" + "aB3=" * 20
+    assert secrets.named_spans(t) == [(12, 3, len(t))]
+
+
 def test_top_k_is_exact():
     r = np.random.default_rng(1)
     for scale in (100, 10_000, 1 << 20, 1 << 27):
