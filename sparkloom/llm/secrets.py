@@ -2,9 +2,10 @@
 
 Three base kinds are exact: `assign` (a sensitive word, an operator and a value), `access` (access key ids) and `hex`
 (long lower-case hexadecimal runs). The lexer adds kind `named`: it parses assignments of source and configuration syntax
-(`name = "literal"`, `"name": "literal"`, `name: literal`, `name := literal`, `name => literal`) into name-literal pairs,
-propagates constants (a sensitive name that is set to another name takes that name's literal), and scores each literal by
-the sensitivity of its target names and by its own shape.
+(`name = "literal"`, `"name": "literal"`, `name: literal`, `name := literal`, `name => literal`, `name: type = literal`)
+into name-literal pairs, propagates constants (a sensitive name that is set to another name takes the literal of that
+name's last assignment before, or of its last one at all where there is none before), and scores each literal by the
+sensitivity of its target names and by its own shape.
 
 Offsets are code points, ends exclusive. Null text is empty; an empty text has no spans; rows that repeat are scanned
 each on its own; an empty table gives an empty table; other columns of the input are ignored. Names, blanks and literals
@@ -41,6 +42,9 @@ _OPERATOR = re.compile("[:=]")
 _NAME = re.compile(r"[ \t]*+[\"'\]]{0,2}+([\w.\-]*[A-Za-z_])", re.A)
 _LITERAL = re.compile(r"[>=]?[ \t]*+(?:\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|([A-Za-z0-9+/_.=@%~$-]))")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=@%~$-]+")
+#: What stands between `:` and `=` of a typed declaration, without what is in brackets; types that are never constants.
+_TYPE = re.compile(r"[ \t]*+(?:&(?:'\w++[ \t]++)?+(?:mut[ \t]++)?+)?+[A-Za-z_][\w.]*+\??+(?:[ \t]*+[|&][ \t]*+[A-Za-z_][\w.]*+)*+[ \t]*+")
+TYPES = {"str", "string", "String", "bytes", "char", "text", "object", "any", "Any", "None", "null", "undefined"}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -93,25 +97,48 @@ def _shape_score(counts: Counter, length: int) -> float:
     return min(1.0, 0.25 * (length >= 8) + 0.15 * (kinds - 1) + min(entropy, 4.0) / 8)
 
 
+def _is_type(between: str) -> bool:
+    flat, depth = [], 0
+    for c in between:
+        depth += (c in "[<") - (c in "]>")
+        if depth < 0 or c == "\n":
+            return False
+        if not depth and c not in "]>":
+            flat.append(c)
+    return not depth and _TYPE.fullmatch("".join(flat)) is not None
+
+
 def assignments(text: str, operators: list[int] | None = None) -> list[tuple[str, int, int, bool]]:
     """(name, start of its literal, end, quoted) of each assignment, in order.
 
     Names and blanks end at the operator before and quoted literals at the next such quote. Literals without quotes may
-    hold operators: all that end together share one scan.
+    hold operators: all that end together share one scan. A typed declaration is a pair of its name and, but for types of
+    TYPES, one of what stands where a type would (`config: password = "literal"`).
     """
     out, before, run = [], -1, 0
+    above, pair = None, False  # the name at the operator before, and whether it made a pair
     for p in _operators(text) if operators is None else operators:
-        name = _NAME.match(text[before + 1 : p][::-1])
-        literal = name and _LITERAL.match(text, p + 1)
-        if literal:
+        between = text[before + 1 : p]
+        name = _NAME.match(between[::-1])
+        literal = (name or above) and _LITERAL.match(text, p + 1)
+        typed = literal and above and text[p] == "=" and text[before] == ":" and _is_type(between)
+        made = False
+        if literal and (name or typed):
             k = literal.lastindex
             start, end = literal.span(k)
             if k == 3:
                 if start >= run:
                     run = _RUN.match(text, start).end()
                 end = run
-            out.append((name[1][::-1], start, end, k < 3))
-        before = p
+            typed = typed and (k < 3 or between[-1] in " \t")  # else padding of base64
+            if typed:
+                if pair and not any(map(str.isdigit, between)):
+                    out.pop()
+                out.append((above, start, end, k < 3))
+            if name and not (typed and name[1][::-1] in TYPES):
+                out.append((name[1][::-1], start, end, k < 3))
+                made = True
+        before, above, pair = p, name and name[1][::-1], made
     return out
 
 
@@ -131,22 +158,36 @@ def _scores(text: str, pairs: list[tuple[str, int, int, bool]], wanted: set[int]
     return out
 
 
+def _sources(text: str, pairs: list[tuple[str, int, int, bool]]) -> list[int]:
+    """For each pair, the pair whose literal it takes: its own, or that of the name it is set to."""
+    final = {name: k for k, (name, *_) in enumerate(pairs)}
+    last, follows = {}, []
+    for k, (name, s, e, quoted) in enumerate(pairs):
+        to = k
+        if not quoted and text.find("=", s, e) < 0 and (other := text[s:e]) in final:
+            to = last.get(other, final[other])
+        follows.append(to)
+        last[name] = k
+    source = [-1] * len(pairs)
+    for k in range(len(pairs)):
+        path, on = [], set()
+        while source[k] < 0 and follows[k] != k and k not in on:
+            path.append(k)
+            on.add(k)
+            k = follows[k]
+        end = k if source[k] < 0 else source[k]
+        for x in (*path, k):
+            source[x] = end
+    return source
+
+
 def named_spans(text: str, operators: list[int] | None = None, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     pairs = assignments(text, operators)
-    known = {name: k for k, (name, *_) in enumerate(pairs)}
-    targets = []
-    for k, (name, *_) in enumerate(pairs):
-        score = name_score(name)
-        if not score:
-            continue
-        seen = {name}
-        while True:  # a name: take what it was set to
-            _, s, e, quoted = pairs[k]
-            if quoted or text.find("=", s, e) >= 0 or (literal := text[s:e]) not in known or literal in seen:
-                break
-            seen.add(literal)
-            k = known[literal]
-        targets.append((score, k))
+    targets = [(score, k) for k, (name, *_) in enumerate(pairs) if (score := name_score(name))]
+    if not targets:
+        return []
+    source = _sources(text, pairs)
+    targets = [(score, source[k]) for score, k in targets]
     scores = _scores(text, pairs, {k for _, k in targets})
     return sorted({(pairs[k][1], 3, pairs[k][2]) for score, k in targets if score * scores[k] >= threshold})
 

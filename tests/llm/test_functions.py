@@ -91,6 +91,20 @@ def test_lexer_reads_to_real_ends():
         assert secret[-300:] not in secrets.redact(t)
 
 
+def test_constants_are_those_before_their_use():
+    found = lambda t: [t[s:e] for s, k, e in secrets.scan(t) if k == 3]
+    assert found('K = "Zq9xLw81Kd72Pm"\ndb_credential = K\nK = "other"') == ["Zq9xLw81Kd72Pm"]
+    assert found('K = "Zq9xLw81Kd72Pm"\ndb_credential = K\nK = "Ab3dEf81Kd72Pm"\ndb_credential = K') == ["Zq9xLw81Kd72Pm", "Ab3dEf81Kd72Pm"]
+    assert found('db_credential = K\nK = "Zq9xLw81Kd72Pm"') == ["Zq9xLw81Kd72Pm"]
+    assert found('credential = "Zq9xLw81Kd72Pm"\nuse(credential=credential)') == ["Zq9xLw81Kd72Pm"]
+    typed = 'db_credential: str = "Zq9xLw81Kd72Pm"\nuser: str = "Alice-Smith-1987"\nother_credential: Optional[str] | None = "Ab3dEf81Kd72Pm"\n'
+    assert found(typed) == ["Zq9xLw81Kd72Pm", "Ab3dEf81Kd72Pm"]
+    assert found(typed + "def f(my_credential: str, n: int = 1234567)") == ["Zq9xLw81Kd72Pm", "Ab3dEf81Kd72Pm"]
+    assert found('const DB_CREDENTIAL: &\'static str = "Zq9xLw81Kd72Pm";') == ["Zq9xLw81Kd72Pm"]
+    assert found("db_credential: QWxhZGRpbjpvcGVu= foo") == ["QWxhZGRpbjpvcGVu="]
+    assert found('config: db_credential = "Zq9xLw81Kd72Pm"') == ["Zq9xLw81Kd72Pm"]
+
+
 def test_lexer_takes_linear_time():
     for piece in ("db_credential=", 'a="', "a='\\", "a= ", "a  ", "key.a-"):
         began = time.process_time()
