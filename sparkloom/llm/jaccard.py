@@ -447,3 +447,34 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     asked = marked.filter(F.col("__may") & F.col("__key").isNotNull()).join(doubtful.select(F.col("doc_id").alias("__key"), "__goes"), "__key", "left").filter("coalesce(__goes, 0) = 0")
     twice = asked.filter("__goes = 0").dropDuplicates(["__key"])
     return passed.unionByName(asked.filter("__goes is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))
+
+
+def keep_one_of_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of docs (every column) with one of each group: of its smallest doc_id (null ones last), then vertex.
+
+    Rows without words stay, and so do rows of one doc_id in different groups. Texts are shuffled only where a Bloom
+    filter of fixed size says that their row may go or repeats the one that stays; all others pass.
+    """
+    spark = docs.sparkSession
+    rows = stored(similar_documents(docs, words).filter("part is not null").select("doc_id", "vertex", "part"), "components")
+    best = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "vertex")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marks = rows.join(best.select("part", "best"), "part").groupBy("doc_id", "vertex").agg(F.max(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("vertex") == F.col("best.vertex")))).alias("__goes"), F.count(F.lit(1)).alias("n"))
+    doubtful = stored(marks.filter("__goes or n > 1").select(F.col("doc_id").alias("__id"), F.col("vertex").alias("__of"), "__goes"), "doubtful")
+    bits = _bloom(doubtful.select(F.xxhash64("__id").alias("vertex")))
+
+    @F.pandas_udf("boolean")
+    def may_go(key: pd.Series) -> pd.Series:
+        low = key.to_numpy() & (1 << BLOOM_BITS) - 1
+        return pd.Series((np.frombuffer(bits.value, dtype=np.uint8)[low >> 3] >> (low & 7) & 1).astype(bool))
+
+    @F.pandas_udf("long")
+    def vertex_of(text: pd.Series) -> pd.Series:
+        return pd.Series([vertex(s) if len(s) else None for s in shingle_sets(text.tolist(), words)], dtype="Int64")
+
+    bound_batches(spark)
+    marked = docs.withColumn("__key", F.col("doc_id").cast("long")).withColumn("__may", may_go(F.xxhash64("__key")))
+    passed = marked.filter(~F.col("__may")).select(*docs.columns)
+    asked = marked.filter("__may").withColumn("__vertex", vertex_of(whole_text()))
+    asked = asked.join(doubtful, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__vertex") == F.col("__of")), "left").filter("not coalesce(__goes, false)")
+    twice = asked.filter("__goes = false").dropDuplicates(["__key", "__vertex"])
+    return passed.unionByName(asked.filter("__goes is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))

@@ -1,12 +1,14 @@
 """The operators over small tables with nulls, empty and long texts, ties, repeated rows, no rows, and other columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
 import pytest
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from sparkloom.llm import bpe, chunked_bpe, fingerprint, jaccard, langid, packing, secrets, token_output, topk, toxicity, warc
 from sparkloom.llm.common import fresh_path, stored
 
@@ -167,6 +169,28 @@ def test_one_of_each_group_stays(docs, none):
     assert jaccard.keep_one(none).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    def near(text, k):
+        w = text.split()
+        w[k] = f"changed{k}"
+        return " ".join(w)
+
+    a, b, c, other = prose(200), prose(200), prose(200), prose(200)
+    groups = [[(5, a), (5, near(a, 9)), (5, a), (7, near(a, 30)), (None, near(a, 90))], [(5, b), (1, near(b, 50))], [(None, c), (None, near(c, 70)), (None, c)], [(5, other)], [(None, prose(100))]]
+    empty = [(5, ""), (5, None), (None, ""), (7, " ")]
+    rows = [*itertools.chain(*groups), *empty]
+    kept = [tuple(r) for r in jaccard.keep_one_of_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert len(kept) == len(groups) + len(empty)
+    assert all(kept.count(r) == 1 for r in empty)
+    assert [[i for i, t in kept if t in {x for _, x in g}] for g in groups] == [[5], [1], [None], [5], [None]]
+
+
+def test_pipeline_judges_rows_by_their_texts(spark):
+    a, b = prose(60), prose(60)
+    docs = spark.createDataFrame([(5, a), (5, b), (None, a)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())) == sorted([(5, a), (5, b)])
+
+
 def test_top_k(spark):
     vectors = [(k, [R.uniform(-1, 1) for _ in range(12)]) for k in range(300)] + [(k, [0.5] * 12) for k in range(300, 400)] + [(500, None), (501, [None] * 12), (502, [float("nan")] * 12), (None, [1.0] * 12), (503, [1.0] * 3), (504, [])]
     df = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<float>, score int").repartition(3)
