@@ -4,8 +4,8 @@ For each row, log evidence for every known language is summed: the text's likeli
 as neighbouring trigrams are no independent evidence), the language that the markup declares, the language that the
 address names (path segment or country suffix), and a prior of the row's host. Host priors come from a grouped
 aggregation of the other evidence's posteriors and are smoothed hierarchically, host towards domain towards all rows; a
-row's own share is taken out of its prior. Trigram models are fitted to at most `SAMPLE_ROWS` rows of known language, of
-which the first `SAMPLE_CHARS` characters count.
+row's own share is taken out of its prior. Trigram models are fitted to at most `SAMPLE_ROWS` rows of known language, dealt
+evenly over all languages that any row has (one row each where there are more); their first `SAMPLE_CHARS` characters count.
 
 Rows come with any of the columns text, html, url, source: html gives text and markup where there is no text, the host
 is the url's or else source. Edge cases: null or empty text, or one without letters, has no text evidence; a missing
@@ -22,12 +22,14 @@ from urllib.parse import urlsplit
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches
 
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 4000
+#: First bits of a hash that rows are counted by.
+HASH_BITS = 10
 BITS = 16
 #: Trigrams that count as independent evidence at most, and the weight of each.
 TEXT_GRAMS, TEXT_WEIGHT = 200, 0.5
@@ -143,15 +145,43 @@ def posterior(log_evidence: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def quota(sizes: list[int], rows: int) -> int:
+    """Rows of each language at most, so that rows in all are not exceeded; at least 1."""
+    left = rows
+    for k, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max(sizes, default=0)
+
+
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
-    """Broadcast models from docs (text, lang): those rows whose other columns have the lowest hashes.
+    """Broadcast models from docs (text, lang): of each language, those rows that have the lowest hashes.
 
-    Hashes alone are sorted first, so that texts of the chosen rows only are sent to the driver.
+    All rows are counted by language and by their hashes' first bits, so every language has a share of the rows, and only
+    rows near the lowest hashes are ranked. There are at most `rows` rows, or one of each language where there are more.
     """
     others = [c for c in docs.columns if c not in ("text", "html")]
-    known = docs.filter("text is not null and lang is not null").select(F.xxhash64(*others).alias("h"), F.substring("text", 1, chars).alias("text"), "lang")
-    last = known.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
-    got = [] if last is None else known.filter(F.col("h") <= last).limit(rows).collect()
+    start = F.substring("text", 1, chars)
+    hashed = others if set(others) - {"lang"} else [start]  # texts are hashed only where nothing else tells rows apart
+    known = docs.filter("text is not null and lang is not null").select(F.xxhash64(*hashed).alias("h"), start.alias("text"), "lang").withColumn("bits", F.shiftrightunsigned("h", 64 - HASH_BITS).cast("int"))
+    counted: dict[str, list] = {}
+    for r in known.groupBy("lang", "bits").count().toArrow().to_pylist():
+        counted.setdefault(r["lang"], []).append((r["bits"], r["count"]))
+    most = quota([sum(n for _, n in c) for c in counted.values()], rows)
+    last = []
+    for lang, c in counted.items():
+        n = 0
+        for bits, more in sorted(c):
+            n += more
+            if n >= most:
+                break
+        last.append((lang, bits))
+    got = []
+    if last:
+        near = known.join(F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last int")), "lang").filter("bits <= last")
+        got = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("bits", "h", "text"))).filter(F.col("rank") <= most).select("text", "lang").collect()
     return docs.sparkSession.sparkContext.broadcast(Languages([r["text"] for r in got], [r["lang"] for r in got]))
 
 

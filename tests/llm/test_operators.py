@@ -260,3 +260,11 @@ def test_pipeline(spark, tmp_path):
         docs = kept
     last = {r["doc_id"] for r in docs.collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == last
+
+
+def test_every_language_has_a_model(spark):
+    rows = [(k, prose(5), "en") for k in range(3000)] + [(3000 + k, prose(5), "fr") for k in range(40)] + [(4000, "le la les de et que", "oc"), (4001, None, "xx"), (4002, "no label", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for most in (60, 3):
+        assert langid.fit(docs, rows=most).value.names == ["en", "fr", "oc"]
+    assert [langid.quota(sizes, 60) for sizes in ([3000, 40, 1], [10, 20], [100] * 100, [])] == [29, 20, 1, 0]
