@@ -462,19 +462,18 @@ def keep_one_of_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
     doubtful = stored(marks.filter("__goes or n > 1").select(F.col("doc_id").alias("__id"), F.col("vertex").alias("__of"), "__goes"), "doubtful")
     bits = _bloom(doubtful.select(F.xxhash64("__id").alias("vertex")))
 
-    @F.pandas_udf("boolean")
-    def may_go(key: pd.Series) -> pd.Series:
-        low = key.to_numpy() & (1 << BLOOM_BITS) - 1
-        return pd.Series((np.frombuffer(bits.value, dtype=np.uint8)[low >> 3] >> (low & 7) & 1).astype(bool))
-
     @F.pandas_udf("long")
-    def vertex_of(text: pd.Series) -> pd.Series:
-        return pd.Series([vertex(s) if len(s) else None for s in shingle_sets(text.tolist(), words)], dtype="Int64")
+    def vertex_in_doubt(key: pd.Series, text: pd.Series) -> pd.Series:
+        """The vertex of rows that may go; null for others and without words. One function: a second one is a second worker."""
+        low = key.to_numpy() & (1 << BLOOM_BITS) - 1
+        may = np.frombuffer(bits.value, dtype=np.uint8)[low >> 3] >> (low & 7) & 1
+        sets = (shingle_sets([x], words)[0] if m else () for m, x in zip(may, text))
+        return pd.Series([vertex(x) if len(x) else None for x in sets], dtype="Int64")
 
     bound_batches(spark)
-    marked = docs.withColumn("__key", F.col("doc_id").cast("long")).withColumn("__may", may_go(F.xxhash64("__key")))
-    passed = marked.filter(~F.col("__may")).select(*docs.columns)
-    asked = marked.filter("__may").withColumn("__vertex", vertex_of(whole_text()))
+    marked = docs.withColumn("__key", F.col("doc_id").cast("long")).withColumn("__vertex", vertex_in_doubt(F.xxhash64("__key"), whole_text()))
+    passed = marked.filter("__vertex is null").select(*docs.columns)
+    asked = marked.filter("__vertex is not null")
     asked = asked.join(doubtful, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__vertex") == F.col("__of")), "left").filter("not coalesce(__goes, false)")
     twice = asked.filter("__goes = false").dropDuplicates(["__key", "__vertex"])
     return passed.unionByName(asked.filter("__goes is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))
