@@ -350,6 +350,11 @@ def concat_horizontal(t):
     return concat([t("region").select("r_name"), t("orders").select("o_orderkey").head(5)], how="horizontal")
 
 
+@query("""SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) JOIN (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) USING (i)""")
+def concat_horizontal_whole(t):
+    return concat([t("orders").select("o_orderkey"), t("orders").select("o_totalprice")], how="horizontal")
+
+
 @query("""SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1""")
 def unique_first(t):
     return t("orders").select("o_orderkey", "o_custkey", "o_totalprice").unique("o_custkey")
