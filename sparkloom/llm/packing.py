@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_encoder
-from .common import bound_batches, stored, whole_text
+from .common import map_arrow, stored, whole_text
 
 WIDTH = 1024
 ITERATIONS = 400
@@ -182,9 +182,8 @@ def _place(recipe):
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: int = WIDTH) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    pieces = stored(rows.mapInArrow(_pieces(tokenizer_path, end_id, width), _PIECES), "pieces")
+    pieces = stored(map_arrow(rows, _pieces(tokenizer_path, end_id, width), _PIECES), "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(width + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most `width` rows
@@ -193,4 +192,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: int = WID
     w = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(_place(recipe), _PACKED)
+    return map_arrow(ranked, _place(recipe), _PACKED)
