@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_encoder
-from .common import bound_batches, whole_text
+from .common import map_arrow, whole_text
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 1 << 20
@@ -52,11 +52,10 @@ def _tokenise(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Writes the token lists of docs (doc_id, text) to the folder out, in ascending doc_id order."""
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.monotonically_increasing_id().alias("place"))
     ordered = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     (
-        ordered.mapInArrow(_tokenise(tokenizer_path, end_id), _SCHEMA)
+        map_arrow(ordered, _tokenise(tokenizer_path, end_id), _SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
@@ -89,5 +88,4 @@ def _crc(batches):
 
 def token_digests(rows: DataFrame) -> DataFrame:
     """read_tokens' rows with the crc32 of each token list in place of it."""
-    bound_batches(rows.sparkSession)
-    return rows.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(rows.select("doc_id", "start", "n_tokens", "tokens"), _crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
