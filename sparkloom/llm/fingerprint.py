@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, whole_text
+from .common import map_arrow, whole_text
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LENGTH, MIN_BLOCK, WINDOW = 64, 3, 7
@@ -144,7 +144,6 @@ def _compare_batches(batches):
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """One row for each document: its fingerprint, its edited text's, and its likeness to that and to the next document."""
     spark = docs.sparkSession
-    bound_batches(spark)
     least = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -164,4 +163,4 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     edges = first.join(F.broadcast(edge), "key").select("part", F.lit(1).alias("edge"), F.lit(least).alias("key"), F.lit(None).cast("long").alias("doc_id"), "text")
     own = rows.select(part_of("key").alias("part"), F.lit(0).alias("edge"), "key", "doc_id", "text")
     dealt = own.unionByName(edges).repartition(parts, "part").sortWithinPartitions("part", "edge", F.desc("key"), "text")
-    return dealt.select("part", "edge", "doc_id", "text").mapInArrow(_compare_batches, _SCHEMA)
+    return map_arrow(dealt.select("part", "edge", "doc_id", "text"), _compare_batches, _SCHEMA)
