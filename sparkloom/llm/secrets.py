@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, whole_text
+from .common import map_arrow, whole_text
 
 KINDS = ("assign", "access", "hex", "named")
 THRESHOLD = 0.5
@@ -232,13 +232,11 @@ def _scan_batches(batches):
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """One row for each document: counts of the base kinds, the digest of the base spans, and all spans."""
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(_scan_batches, _SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), _scan_batches, _SCHEMA)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs (every column) with the secrets of text replaced, and n_chars, where there is one, counted anew."""
-    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -252,4 +250,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 columns[k] = pa.array([o if t is None else len(t) for o, t in zip(old, text)], pa.int64()).cast(columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
