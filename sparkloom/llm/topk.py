@@ -3,16 +3,17 @@
 Vectors are quantised to integers and stored in blocks in vertical layout (dimension by dimension). For a block of
 queries and a block of vectors, scores accumulate dimension block by dimension block; what the remaining dimensions can
 add is bounded by the remaining masses (Cauchy-Schwarz), pairs whose bound stays below the query's k-th best score so far
-are dropped, and the survivors are compacted. Integers below 2^24 (2^53) make float32 (float64) sums exact.
+are dropped, and the survivors are compacted. Where sums stay below 2^24 (2^53), float32 (float64) is exact; beyond, float64 sums with
+an error bound choose the pairs that can be among the best, and these are scored in integers of any size.
 
 The stated query set meets all vectors block by block: data blocks are dealt over `cells` groups, query blocks are copied
-to each of them (and data blocks to each group of `QUERY_GROUP` queries), so a task holds one block of either side. Each
-task returns k rows for a query at most.
+to each of them (and data blocks to each group of `QUERY_GROUP` queries), so a task holds one block of either side and
+the best of its queries. Each task returns k rows for a query at most.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; only
-vectors of the query's length are compared; components saturate at 2^28; rows that repeat an id are candidates each, and
-as queries count once (the least vector); all candidates are returned if there are fewer than k; an empty table gives
-none; other columns are ignored.
+vectors of the query's length are compared; a score among the best that a long can't hold is an error, and so is a
+component that no double can hold when scaled; rows that repeat an id are candidates each, and as queries count once (the
+least vector); all candidates are returned if there are fewer than k; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import map_arrow
 
 K = 5
 SCALE = 256
-BLOCK_VECTORS, QUERY_BLOCK, QUERY_GROUP = 4096, 256, 4096
-BLOCK_BYTES = 4 << 20
+BLOCK_VECTORS, QUERY_BLOCK, QUERY_GROUP = 4096, 256, 65_536
+BLOCK_BYTES = 2 << 20
 DIMENSIONS = 16
 #: Below this share of live pairs they are compacted.
 SPARSE = 0.2
-_BLOCK = "block long, dims int, ids binary, data binary"
+_BLOCK = "block long, dims int, ids binary, data binary"  # data: int32, or float64 where that is too small
 
 
 def _blocks(most: int, scale: int):
@@ -40,10 +41,10 @@ def _blocks(most: int, scale: int):
 
         task, made, held = TaskContext.get().partitionId(), 0, {}
 
-        def block(dims):
+        def block(dims, wide):
             nonlocal made
-            ids, rows = (np.concatenate(x) for x in zip(*held.pop(dims)))
-            size = max(1, min(most, BLOCK_BYTES // (4 * dims + 8)))
+            ids, rows = (np.concatenate(x) for x in zip(*held.pop((dims, wide))))
+            size = max(1, min(most, BLOCK_BYTES // (8 * dims + 8)))
             for s in range(0, len(ids), size):
                 part = rows[s : s + size]
                 yield pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([dims], pa.int32()), pa.array([ids[s : s + size].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(part.T).tobytes()], pa.binary())], names=["block", "dims", "ids", "data"])
@@ -58,14 +59,16 @@ def _blocks(most: int, scale: int):
             good = (bad[offsets[1:]] == bad[offsets[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy()
             with np.errstate(all="ignore"):
-                whole = np.clip(np.floor(scale * np.nan_to_num(values)), -(2.0**28), 2.0**28).astype(np.int32)
-            for dims in np.unique(size[good]).tolist():
-                k = np.flatnonzero(good & (size == dims))
-                held.setdefault(dims, []).append((ids[k], whole[offsets[k][:, None] + np.arange(dims)].reshape(len(k), dims)))
-                if sum(len(x[0]) for x in held[dims]) >= most:
-                    yield from block(dims)
-        for dims in list(held):
-            yield from block(dims)
+                whole = np.floor(scale * np.nan_to_num(values))
+            large = np.concatenate([[0], np.cumsum(np.abs(whole) >= 2.0**31)])
+            large = large[offsets[1:]] > large[offsets[:-1]]
+            for dims, wide in np.unique(np.stack([size[good], large[good]], axis=1), axis=0).tolist():
+                k = np.flatnonzero(good & (size == dims) & (large == wide))
+                held.setdefault((dims, wide), []).append((ids[k], whole[offsets[k][:, None] + np.arange(dims)].reshape(len(k), dims).astype(np.float64 if wide else np.int32)))
+                if sum(len(x[0]) for x in held[dims, wide]) >= most:
+                    yield from block(dims, wide)
+        for dims, wide in list(held):
+            yield from block(dims, wide)
 
     return run
 
@@ -93,12 +96,8 @@ def search(best: Best, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray
     """Adds to best what the vectors (dims x n) hold for the queries (dims x m)."""
     dims, n = vectors.shape
     most = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, dims)
-    if most >= 2.0**53:  # beyond exact floats: integers, without bounds
-        score = np.zeros((queries.shape[1], n), dtype=np.int64)
-        for d in range(dims):
-            score += queries[d].astype(np.int64)[:, None] * vectors[d].astype(np.int64)
-        q, v = np.indices(score.shape).reshape(2, -1)
-        best.add(q, score.ravel(), ids[v])
+    if most >= 2.0**53:
+        _search_wide(best, queries, ids, vectors)
         return
     kind = np.float32 if most < 2.0**24 else np.float64
     q_all, v_all = queries.astype(kind), vectors.astype(kind)
@@ -131,13 +130,35 @@ def search(best: Best, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray
     best.add(pairs[0], score, ids[pairs[1]])
 
 
+def _search_wide(best: Best, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+    """search beyond exact floats: pairs that may be among the best by a bounded sum, scored exactly."""
+    q_all, v_all = queries.astype(np.float64), vectors.astype(np.float64)
+    if not (np.isfinite(q_all).all() and np.isfinite(v_all).all()):
+        raise OverflowError("a scaled component is beyond double precision")
+    with np.errstate(all="ignore"):
+        score = q_all.T @ v_all
+        slack = (len(v_all) + 2) * 2.0**-51 * (np.abs(q_all).T @ np.abs(v_all))
+        low, high = score - slack, score + slack
+    low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+    same = best.ids[:, None] == ids
+    low[same], high[same] = -np.inf, -np.inf
+    least = np.nextafter(best.threshold, -np.inf)
+    if len(ids) >= best.k:
+        least = np.maximum(least, np.partition(low, len(ids) - best.k, axis=1)[:, len(ids) - best.k])
+    q, v = np.nonzero((high >= least[:, None]) & ~same)
+    exact = [sum(int(a) * int(b) for a, b in zip(q_all[:, i], v_all[:, j])) for i, j in zip(q.tolist(), v.tolist())]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in exact):
+        raise OverflowError("a score is beyond 64 bits")
+    best.add(q, np.array(exact, dtype=np.int64), ids[v])
+
+
 def _search_batches(k: int):
     def run(batches):
         held: dict[int, Best] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, ids = (np.frombuffer(row[x], dtype=np.int64) for x in ("q_ids", "ids"))
-                queries, vectors = (np.frombuffer(row[x], dtype=np.int32).reshape(row["dims"], n) for x, n in (("q_data", len(q_ids)), ("data", len(ids))))
+                queries, vectors = (np.frombuffer(row[x], dtype=np.int32 if len(row[x]) == 4 * n * row["dims"] else np.float64).reshape(row["dims"], n) for x, n in (("q_data", len(q_ids)), ("data", len(ids))))
                 best = held.setdefault(row["q_block"], Best(q_ids, k))
                 search(best, queries, ids, vectors)
         for best in held.values():
@@ -150,18 +171,16 @@ def _search_batches(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each of queries (vec_id, embedding) its k best of vectors, itself apart."""
     spark = vectors.sparkSession
-    bound_batches(spark, 2000)
     pick = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     asked = queries.select(*pick).filter(F.col("vec_id").isNotNull() & sound).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups = max(1, -(-queries.select("vec_id").count() // QUERY_GROUP))
     cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = vectors.select(*pick).mapInArrow(_blocks(BLOCK_VECTORS, scale), _BLOCK)
+    data = map_arrow(vectors.select(*pick), _blocks(BLOCK_VECTORS, scale), _BLOCK)
     data = data.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    blocks = asked.mapInArrow(_blocks(QUERY_BLOCK, scale), _BLOCK).select(F.col("block").alias("q_block"), "dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    blocks = map_arrow(asked, _blocks(QUERY_BLOCK, scale), _BLOCK).select(F.col("block").alias("q_block"), "dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     blocks = blocks.withColumn("part", F.pmod(F.xxhash64("q_block"), F.lit(groups)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
     met = data.join(blocks, ["part", "cell", "dims"]).select("dims", "ids", "data", "q_block", "q_ids", "q_data")
-    bound_batches(spark, 16)
-    found = met.mapInArrow(_search_batches(k), "query_id long, vec_id long, score long")
+    found = map_arrow(met, _search_batches(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
