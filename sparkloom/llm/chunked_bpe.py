@@ -4,7 +4,8 @@ A rolling hash over the last `HASH_BYTES` bytes cuts every text into chunks at p
 so passages that documents share fall into the same chunks. A worker encodes each distinct chunk once and keeps it (the
 caches are bounded, with two generations). A chunk that begins or ends inside a word has wrong ids there: at each joint
 the word across it is encoded anew, together with the words before and after it. Where these keep their ids at both ends
-of the new ones, the joint agrees; else the text is encoded anew as a whole. The result equals the library's ids.
+of the new ones, the joint agrees. Where they don't, the two chunks become one, which is encoded anew as a whole and has
+joints at its ends alone, until all joints agree (at worst the text is one chunk). The result equals the library's ids.
 
 Chunks are shared among the documents that a worker reads. Sending every chunk and its ids through shuffles, to encode
 it once for all workers, would move about twice the input.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_stand_ins, load_tokenizer
-from .common import bound_batches, whole_text
+from .common import map_arrow, whole_text
 
 HASH_BYTES, CUT_BITS = 8, 9
 #: Entries of each of the two generations of a worker's caches.
@@ -85,6 +86,8 @@ class ChunkEncoder:
         self.words = Kept(self._word, WORDS, WORD_CHARS)
         self.chunks = Kept(self._chunk, CHUNKS, CHUNK_CHARS)
         self.joints = Kept(self._ids, CHUNKS, CHUNK_CHARS)
+        #: Chunks that were met and made, and joints that were widened.
+        self.met = self.made = self.widened = 0
 
     def _fast(self):
         """The same vocabulary in a faster encoder, which sees the end of a word as one more byte; None for other kinds."""
@@ -120,12 +123,21 @@ class ChunkEncoder:
 
     def _chunk(self, chunk: str) -> tuple[str, str | None, bytes, str | None, str | None]:
         """First word, second, ids of the inner words, last but one, last. A chunk of one word has the first alone, of two no inner ones."""
+        self.made += 1
         first, *inner = chunk.split(" ")
         if not inner:
             return first, None, b"", None, None
         last = inner.pop()
         return first, inner[0] if inner else None, b"".join(map(self.words.__getitem__, inner)), inner[-1] if inner else None, last
 
+    def _wide(self, chunk: str) -> tuple[str, str | None, bytes, str | None, str | None]:
+        """As _chunk, of chunks whose joint did not agree: the inner words are encoded together."""
+        first, *inner = chunk.split(" ")
+        if not inner:
+            return first, None, b"", None, None
+        last = inner.pop()
+        return first, inner[0] if inner else None, self._ids(" ".join(inner)), inner[-1] if inner else None, last
+
     def _joint(self, before: str | None, word: str, after: str | None) -> bytes | None:
         """The ids of the word across a joint, or None where its neighbours' ids do not agree."""
         new = self.joints[" ".join(w for w in (before, word, after) if w is not None)]
@@ -136,20 +148,45 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The library's ids of text, with add_special_tokens=False, as little-endian uint32 bytes."""
-        ends = cuts(text)
-        out: list[bytes | None] = []
-        before, word = None, ""  # the word before the open one, and the open one: it may go on in the next chunk
-        for a, b in zip([0, *ends], [*ends, len(text)]):
-            if a == b:
-                continue
-            first, after, inner, held, last = self.chunks[text[a:b]]
+        bounds = [0, *(x for x in cuts(text) if 0 < x < len(text)), len(text)]
+        spans, wide = list(zip(bounds, bounds[1:])), set()
+        while True:
+            out, bad = self._join(text, spans, wide)
+            if not bad:
+                return b"".join(out)
+            self.widened += len(bad)
+            if len(spans) == 1:
+                return self._ids(text)
+            merged: list[tuple[int, int]] = []
+            for k, (a, b) in enumerate(spans):
+                if any(x < k <= y for x, y in bad):
+                    wide.discard(merged[-1])
+                    merged[-1] = (merged[-1][0], b)
+                    wide.add(merged[-1])
+                else:
+                    merged.append((a, b))
+            spans = merged
+
+    def _join(self, text: str, spans: list[tuple[int, int]], wide: set) -> tuple[list[bytes], list[tuple[int, int]]]:
+        """The ids of chunks and joints, and for each joint that does not agree the chunks from whose inner words to whose it reaches."""
+        out, bad = [], []
+        before, word, since = None, "", 0  # the word before the open one, and the open one: it may go on in the next chunk
+        for k, (a, b) in enumerate(spans):
+            self.met += 1
+            first, after, inner, held, last = self._wide(text[a:b]) if (a, b) in wide else self.chunks[text[a:b]]
             word += first
             if last is None:  # no space in this chunk
                 continue
-            out += [self._joint(before, word, after), inner]
-            before, word = word if held is None else held, last
-        out.append(self._joint(before, word, None))
-        return self._ids(text) if None in out else b"".join(out)
+            joint = self._joint(before, word, after)
+            if joint is None:
+                bad.append((since, k) if since < k else (k, k + 1) if k + 1 < len(spans) else (k - 1, k))
+            out += [joint or b"", inner]
+            before, word, since = word if held is None else held, last, k
+        joint = self._joint(before, word, None)
+        if joint is None:
+            k = len(spans) - 1
+            bad.append((since, k) if since < k else (k - 1, k))
+        return [*out, joint or b""], bad
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the library's decode(ids, skip_special_tokens=False) for a vocabulary without decoder: tokens joined by spaces."""
@@ -170,7 +207,6 @@ def chunk_encoder(path: str) -> ChunkEncoder:
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, outputs: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document and, if outputs, ids (binary) and decoded text."""
-    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if outputs else "")
 
     def run(batches):
@@ -184,4 +220,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, outputs: bool = True)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()][: 6 if outputs else 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, schema)
