@@ -7,9 +7,10 @@ commit protocol and its reach to any store. `read_records` parses the files by C
 records through their concurrent-to identifiers (also where one leads to another) into one nested row per capture.
 
 Edge cases: null html is an empty payload; a null url is written as urn:page:<id>; line breaks in a url are
-percent-encoded; pages without an id are responses and captures of their own by url and payload; rows that repeat the
-largest page_id of a payload are all responses of one capture; an empty table gives no captures; other columns are
-ignored. Payloads of any length are kept whole.
+percent-encoded; pages without an id are responses and captures of their own by url and payload; rows that repeat a
+page_id are captures of their own by payload; rows that repeat both are answers of one capture (all responses, if the
+page_id is the payload's largest); an empty table gives no captures; other columns are ignored. Payloads of any length
+are kept whole: longer ones have files of fewer records.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import map_arrow, spread_join
 
 END = "\r\n\r\n"
-#: Records of a file: three to a page.
-FILE_RECORDS = 1500
-#: A payload that a third of all pages share is looked up under this many keys.
-SALTS = 16
+#: Pages of a file by the most bytes of their payloads: files stay below 128 MB, but for single pages. Three records to a page.
+FILE_PAGES = ((1 << 18, 500), (1 << 23, 15), (1 << 62, 1))
+#: A payload is hot from one part in so many of all pages on.
+HOT_KEYS = 1000
+READ_BYTES = 1 << 20
 DATE = "2026-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the public namespace of URLs
 
@@ -50,16 +52,17 @@ def _record(headers: list[tuple[str, str]], block: str) -> str:
 def capture_records(page_id: int | None, url: str | None, html: str, original: int | None) -> list[str]:
     """The page's records without their ends; original: the page that a revisit refers to."""
     payload = html.encode()
-    key = str(page_id) if page_id is not None else f"{url}|{sha1_base32(payload)}"
+    sha1 = sha1_base32(payload)
+    key = f"{f'url:{url}' if page_id is None else f'page:{page_id}'}|{sha1}"
     url = f"urn:page:{page_id}" if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
-    main, digest = _record_id("response", key), f"sha1:{sha1_base32(payload)}"
+    main, digest = _record_id("response", key), f"sha1:{sha1}"
     common = [("WARC-Date", DATE), ("WARC-Target-URI", url)]
     reply = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     http = ("Content-Type", "application/http; msgtype=response")
     if original is None:
         answer = _record([("WARC-Type", "response"), ("WARC-Record-ID", main), *common, ("WARC-Payload-Digest", digest), http], reply + html)
     else:
-        refers = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id("response", str(original)))]
+        refers = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id("response", f"page:{original}|{sha1}"))]
         answer = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", main), *common, *refers, ("WARC-Payload-Digest", digest), http], reply)
     request_id = _record_id("request", key)
     request = _record([("WARC-Type", "request"), ("WARC-Record-ID", request_id), *common, ("WARC-Concurrent-To", main), ("Content-Type", "application/http; msgtype=request")], "GET / HTTP/1.1\r\n\r\n")
@@ -80,30 +83,80 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, original: the largest page_id of those with an equal payload, null for that page itself."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    shared = p.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    keys = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return p.join(keys, ["digest", "salt"], "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).alias("original"))
+    n = pages.count()
+    shared = p.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hot = shared.filter(F.col("n") > n / HOT_KEYS).select("digest", "largest")
+    return spread_join(p, shared.select("digest", "largest"), "digest", hot).select("page_id", "url", "html", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).alias("original"))
 
 
 def write_archives(pages: DataFrame, out: str, min_bytes: int = 0) -> None:
     """Writes the WARC files of pages (page_id, url, html) to the folder out, compressed."""
-    bound_batches(pages.sparkSession)
-    with_originals(pages, min_bytes).mapInArrow(_write_batches, "value string").write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(out)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    rows, least = with_originals(pages, min_bytes), 0
+    for most, of_file in FILE_PAGES:
+        some = rows.filter(F.octet_length("html").between(least, most)) if longest > FILE_PAGES[0][0] else rows
+        map_arrow(some, _write_batches, "value string").write.mode("append").option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", 3 * of_file).text(out)
+        least = most + 1
+        if longest <= most:
+            break
 
 
 _RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
 
 
-def parse(data: bytes):
-    """(headers, block) of each record; Content-Length alone says where a block ends."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
-        headers = dict(x.split(": ", 1) for x in data[at:stop].decode().split("\r\n")[1:])
-        end = stop + 4 + int(headers["Content-Length"])
-        yield headers, data[stop + 4 : end]
-        at = end + 4
+def unpacked(data: bytes):
+    """The bytes of a file, whose gzip members (if any) are unpacked one after another, in parts of bounded size."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(view[at : at + READ_BYTES]) for at in range(0, len(data), READ_BYTES))
+        return
+    at, d, left = 0, zlib.decompressobj(31), b""
+    while left or at < len(data):
+        if not left:
+            left = bytes(view[at : at + READ_BYTES])
+            at += len(left)
+        yield d.decompress(left, 4 * READ_BYTES)
+        left = d.unconsumed_tail
+        if d.eof:
+            left, d = d.unused_data, zlib.decompressobj(31)
+
+
+def parse(parts):
+    """(headers, block) of each record of bytes, whole or in parts; Content-Length alone says where a block ends."""
+    source = iter([parts] if isinstance(parts, bytes) else parts)
+    held, at, looked = bytearray(), 0, 0
+
+    def more() -> bool:
+        nonlocal at, looked
+        got = next(source, None)
+        if got is None:
+            return False
+        del held[:at]
+        looked, at = max(0, looked - at), 0
+        held.extend(got)
+        return True
+
+    while True:
+        start = held.find(b"WARC/", at)
+        if start < 0:
+            at = max(at, len(held) - 4)
+            if not more():
+                return
+            continue
+        at = looked = start
+        while (stop := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(at, len(held) - 3)
+            if not more():
+                raise ValueError("an archive ends inside a record")
+        headers = dict(x.split(": ", 1) for x in held[at:stop].decode().split("\r\n")[1:])
+        length = int(headers["Content-Length"])
+        size = stop + 4 - at
+        while len(held) - at < size + length:
+            if not more():
+                raise ValueError("an archive ends inside a record")
+        block = bytes(memoryview(held)[at + size : at + size + length])
+        yield headers, block
+        at += size + length
 
 
 def _parse_batches(payloads: bool):
@@ -132,15 +185,8 @@ def _parse_batches(payloads: bool):
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data, packed = b"", data
-                    while packed:  # one member after another
-                        d = zlib.decompressobj(31)
-                        data += d.decompress(packed)
-                        packed = d.unused_data
                 rows, size = [], 0
-                for headers, block in parse(data):
+                for headers, block in parse(unpacked(content.as_py())):
                     rows.append(one(headers, block))
                     size += len(block) if payloads else 0
                     if len(rows) >= 2000 or size > 16 << 20:
@@ -154,8 +200,7 @@ def _parse_batches(payloads: bool):
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row for each record of the archives in path. The digest of every response is checked against its payload."""
-    bound_batches(spark, 4)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse_batches(payloads), _RECORD)
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), _parse_batches(payloads), _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
