@@ -5,12 +5,15 @@ as neighbouring trigrams are no independent evidence), the language that the mar
 address names (path segment or country suffix), and a prior of the row's host. Host priors come from a grouped
 aggregation of the other evidence's posteriors and are smoothed hierarchically, host towards domain towards all rows; a
 row's own share is taken out of its prior. Trigram models are fitted to at most `SAMPLE_ROWS` rows of known language, dealt
-evenly over all languages that any row has (one row each where there are more); their first `SAMPLE_CHARS` characters count.
+evenly over all languages that any row has (one row each where there are more), and of a longer text to `SAMPLE_CHARS`
+characters from a place that the row's hash chooses. What is identified is read whole.
 
 Rows come with any of the columns text, html, url, source: html gives text and markup where there is no text, the host
 is the url's or else source. Edge cases: null or empty text, or one without letters, has no text evidence; a missing
 host is a host of its own; unknown declared languages are no evidence; rows that repeat are judged each; without any
-sample every row is undetermined (language null, confidence 0); an empty table gives an empty table.
+sample every row is undetermined (language null, confidence 0); an empty table gives an empty table; other columns are
+kept or ignored, whatever their names. Html is read in linear time, however broken: a comment or a dropped element that
+never ends, and a tag that never closes, stand as text.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import map_arrow, spread_join, stored, unused
 
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 4000
 #: First bits of a hash that rows are counted by.
@@ -38,25 +41,65 @@ MARKUP_RIGHT, ADDRESS_RIGHT = 0.9, 0.8
 #: Rows that a smoothing level counts as.
 SMOOTHING = 20.0
 MIN_CONFIDENCE = 0.5
-#: Hosts whose priors are broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 100_000
-SALTS = 16
+#: Bytes of host priors that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: A host is hot from one part in so many of all rows on.
+HOT_KEYS = 1000
 _MULTIPLIER = np.uint32(0x9E3779B1)  # fixed value: a prime next to 2^32 over the golden ratio
-_DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|template)\b.*?</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b|<meta\b[^>]*?content-language[\"']?[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b")
+_DROPPED = re.compile(r"(?i)<!--|<(script|style|nav|template)\b")
+_CLOSED = re.compile(r"(?i)</(script|style|nav|template)\s*>")
+_NAMED_TAG = re.compile(r"(?i)<(html|meta)\b[^<>]*")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+_CONTENT = re.compile(r"(?i)content\s*=\s*[\"']?([a-z]{2,3})\b")
 _SEGMENT = re.compile(r"/([a-z]{2})(?:[-_][A-Za-z]{2})?(?=/|$)")
 #: Languages of country suffixes that are not named like them.
 SUFFIX = {"at": "de", "mx": "es", "ar": "es", "uk": "en", "us": "en"}
 
 
+def _without_dropped(html: str) -> str:
+    """html without comments and elements that show no text."""
+    ends: dict[str, list[int]] = {}
+    for m in _CLOSED.finditer(html):
+        ends.setdefault(m[1].lower(), []).append(m.start())
+    for places in ends.values():
+        places.reverse()  # the next one is taken from the end
+    out, at, look, comments = [], 0, 0, True
+    while m := _DROPPED.search(html, look):
+        look, end = m.end(), -1
+        if m[1] is None:
+            end = html.find("-->", look) + 3 if comments else 2
+            comments = end > 2
+            end = end if comments else -1
+        else:
+            places = ends.get(m[1].lower(), [])
+            while places and places[-1] < look:
+                places.pop()
+            if places:
+                end = html.index(">", places[-1]) + 1
+        if end >= 0:
+            out += [html[at : m.start()], " "]
+            at = look = end
+    return "".join(out) + html[at:]
+
+
 def page_text(html: str) -> str:
-    return html_lib.unescape(_TAG.sub(" ", _DROPPED.sub(" ", html)))
+    text, out, at = _without_dropped(html), [], 0
+    while (start := text.find("<", at)) >= 0 and (end := text.find(">", start)) >= 0:
+        out += [text[at:start], " "]
+        at = end + 1
+    return html_lib.unescape("".join(out) + text[at:])
 
 
 def declared_language(html: str) -> str | None:
-    m = _DECLARED.search(html)
-    return (m[1] or m[2]).lower() if m else None
+    for tag in _NAMED_TAG.finditer(html):
+        if tag[1].lower() == "html":
+            m = _LANG.search(tag[0])
+        else:
+            at = tag[0].lower().find("content-language")
+            m = _CONTENT.search(tag[0], at + len("content-language")) if at >= 0 else None
+        if m:
+            return m[1].lower()
+    return None
 
 
 def address(url: str | None) -> tuple[str | None, str | None]:
@@ -163,9 +206,10 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
     rows near the lowest hashes are ranked. There are at most `rows` rows, or one of each language where there are more.
     """
     others = [c for c in docs.columns if c not in ("text", "html")]
-    start = F.substring("text", 1, chars)
-    hashed = others if set(others) - {"lang"} else [start]  # texts are hashed only where nothing else tells rows apart
-    known = docs.filter("text is not null and lang is not null").select(F.xxhash64(*hashed).alias("h"), start.alias("text"), "lang").withColumn("bits", F.shiftrightunsigned("h", 64 - HASH_BITS).cast("int"))
+    hashed = others if set(others) - {"lang"} else ["text"]  # texts are hashed only where nothing else tells rows apart
+    h = F.xxhash64(*hashed)
+    start = (F.pmod(h, F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1).cast("int")
+    known = docs.filter("text is not null and lang is not null").select(h.alias("h"), F.substring("text", start, F.lit(chars)).alias("text"), "lang").withColumn("bits", F.shiftrightunsigned("h", 64 - HASH_BITS).cast("int"))
     counted: dict[str, list] = {}
     for r in known.groupBy("lang", "bits").count().toArrow().to_pylist():
         counted.setdefault(r["lang"], []).append((r["bits"], r["count"]))
@@ -191,7 +235,6 @@ def _evidence_columns(df: DataFrame) -> list[str]:
 
 def host_priors(df: DataFrame, models) -> DataFrame:
     """host, share, n_host, domain_share: summed posteriors of the host's rows, their number, and the smoothed prior of its domain."""
-    bound_batches(df.sparkSession)
     used = _evidence_columns(df)
 
     def run(batches):
@@ -205,9 +248,9 @@ def host_priors(df: DataFrame, models) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([domain_of(h) for h in sums], pa.string()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["host", "domain", "n", "p"])
 
     width = len(models.value.names)
-    parts = df.select(*used).mapInArrow(run, "host string, domain string, n long, p array<double>")
+    parts = map_arrow(df.select(*used), run, "host string, domain string, n long, p array<double>")
     total = [F.sum(F.get("p", k)).alias(f"p{k}") for k in range(width)]
-    hosts = parts.groupBy("host", "domain").agg(F.sum("n").alias("n_host"), *total)
+    hosts = stored(parts.groupBy("host", "domain").agg(F.sum("n").alias("n_host"), *total), "hosts")  # texts are read once for it
     domains = hosts.groupBy("domain").agg(F.sum("n_host").alias("n_domain"), *[F.sum(f"p{k}").alias(f"d{k}") for k in range(width)])
     every = domains.agg(F.sum("n_domain").alias("n_all"), *[F.sum(f"d{k}").alias(f"a{k}") for k in range(width)]).first()
     overall = [((every[f"a{k}"] or 0) + 1) / ((every["n_all"] or 0) + width) for k in range(width)]
@@ -228,24 +271,24 @@ def _host_column(df: DataFrame):
     return F.coalesce(F.nullif(host(F.col("url").cast("string")), F.lit("")), source)
 
 
-def with_priors(df: DataFrame, models) -> DataFrame:
-    """df with its hosts' priors as columns __n, __share and __domain (null for hosts that gave none)."""
-    priors = host_priors(df, models).persist()
-    joined = df.withColumn("__host", _host_column(df))
-    right = priors.select(F.col("host").alias("__host"), F.col("n_host").alias("__n"), F.col("share").alias("__share"), F.col("domain_share").alias("__domain"))
-    if priors.count() <= BROADCAST_HOSTS:
-        return joined.join(F.broadcast(right), "__host", "left").drop("__host")
-    spread = joined.withColumn("__salt", (F.rand(11) * SALTS).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, ["__host", "__salt"], "left").drop("__host", "__salt")
+def with_priors(df: DataFrame, models) -> tuple[DataFrame, list[str]]:
+    """df with its hosts' priors (null for hosts that gave none), and the names of their columns: rows, summed and domain's share."""
+    priors = host_priors(df, models)
+    host, *names = unused(df, "host", "n_host", "share", "domain_share")
+    right = priors.select(F.col("host").alias(host), *[F.col(c).alias(n) for c, n in zip(("n_host", "share", "domain_share"), names)])
+    left = df.withColumn(host, _host_column(df))
+    hosts, rows = priors.agg(F.count(F.lit(1)), F.sum("n_host")).first()
+    if hosts * (16 * len(models.value.names) + 100) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), host, "left").drop(host), names
+    return spread_join(left, right, host, right.filter(F.col(names[0]) > rows / HOT_KEYS)).drop(host), names
 
 
-def _fuse(models, batch):
-    """Posterior of each row, and its text's declared and address languages."""
+def _fuse(models, batch, names: list[str]):
+    """Posterior of each row, and its text's declared and address languages; names: of the priors' columns."""
     rows = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "html", "url", "source") if c in batch.schema.names}
     log, _, declared, near = models.value.evidence(rows)
     own, prior = posterior(log), np.zeros(log.shape)
-    columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__n", "__share", "__domain"))
+    columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)
     for k, (n, share, domain) in enumerate(zip(*columns)):
         if n is not None:
             rest = np.maximum(np.array(share) - own[k], 0)  # without the row itself
@@ -260,15 +303,16 @@ def identify(df: DataFrame, models, key: str, min_confidence: float = MIN_CONFID
     if not models.value.names:
         return df.select(F.col(key).cast("long").alias(key), *[F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("address"), F.lit(False).alias("kept")])
 
+    rows, priors = with_priors(df.select(F.col(key).cast("long").alias(key), *[c for c in used if c != key]), models)
+
     def run(batches):
         for batch in batches:
-            p, declared, near = _fuse(models, batch)
+            p, declared, near = _fuse(models, batch, priors)
             best = p.max(axis=1, initial=0)
             names = [models.value.names[k] for k in p.argmax(axis=1)] if len(p) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(declared, pa.string()), pa.array(near, pa.string()), pa.array(best >= min_confidence, pa.bool_())], names=[x.split()[0] for x in schema.split(", ")])
 
-    rows = with_priors(df.select(F.col(key).cast("long").alias(key), *used), models)
-    return rows.select(key, *used, "__n", "__share", "__domain").mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def keep_identified(df: DataFrame, models, languages: list[str] | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -276,14 +320,14 @@ def keep_identified(df: DataFrame, models, languages: list[str] | None = None, m
     if not models.value.names:
         return df.limit(0)
     names = df.columns
+    rows, priors = with_priors(df, models)
 
     def run(batches):
         for batch in batches:
-            p, _, _ = _fuse(models, batch)
+            p, _, _ = _fuse(models, batch, priors)
             keep = p.max(axis=1, initial=0) >= min_confidence
             if languages is not None and len(p):
                 keep &= np.isin(np.array(models.value.names)[p.argmax(axis=1)], languages)
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
-    bound_batches(df.sparkSession)
-    return with_priors(df, models).select(*df.columns, "__n", "__share", "__domain").mapInArrow(run, df.schema)
+    return map_arrow(rows.select(*names, *priors), run, df.schema)
