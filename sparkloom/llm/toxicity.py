@@ -6,7 +6,9 @@ All windows of a text, each overlapping the next by half, are scored; the text's
 
 The model is fitted on the driver to at most `SAMPLE_ROWS` labelled rows of at most `SAMPLE_CHARS` characters (the
 lowest hashes of doc_id; never a held-out row), as multiple-instance learning: a toxic text answers for its highest
-window, a clean one for several. It has a fixed size and is broadcast. Labels, lang, source and doc_id are no inputs.
+window, a clean one for several. Embeddings begin as log odds over the labelled texts; while a text trains the network,
+its own label is left out of the odds of its words, so that the network can't learn what the input already tells. It has
+a fixed size and is broadcast. Labels, lang, source and doc_id are no inputs.
 
 Edge cases: null or empty text has one empty window and so a score; without labelled rows of both classes every score is
 the share of toxic labels (0 without any); a null doc_id is not held out; rows that repeat are scored each; an empty
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, whole_text
+from .common import map_arrow, whole_text
 
 WINDOW, STRIDE = 32, 16
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 12_000
@@ -169,6 +171,13 @@ def _windows(counts: list[int]):
     return np.array(owner, dtype=np.int64), np.array(start, dtype=np.int64)
 
 
+def _odds(clean: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log odds of buckets that so many clean and toxic texts hold, the fewer the nearer to 0."""
+    both = clean + toxic
+    odds = np.log((toxic + 0.3) / n[1]) - np.log((clean + 0.3) / n[0])
+    return np.where(both >= 3, np.clip(odds, -4, 6) / 4 * both / (both + 6), 0).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     r, net = np.random.default_rng(seed), Network(seed)
     place: dict[str, int] = {}
@@ -179,14 +188,25 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     word, grams, first = feats = features(list(place) or [""])
     ends = np.append(first[1:], len(grams))
     y = np.array(labels)
-    # first coordinates begin as shrunk log odds over the texts that hold a bucket
+    # first coordinates begin as shrunk log odds over the texts that hold a bucket; without[label]: what they are less, if one such text is left out
+    n, without = np.bincount(y, minlength=2) + 1, []
     for table, buckets in ((net.word, lambda k: word[k]), (net.gram, lambda k: np.concatenate([grams[first[i] : ends[i]] for i in k]) if len(k) else k)):
-        seen = np.zeros((2, len(table)))
+        seen = np.zeros((2, len(table)), np.float32)
         for k, label in zip(ids, y):
             seen[label, np.unique(buckets(np.unique(k)))] += 1
-        n = np.bincount(y, minlength=2) + 1
-        odds = np.log((seen[1] + 0.3) / n[1]) - np.log((seen[0] + 0.3) / n[0])
-        table[:, 0] += np.where(seen.sum(axis=0) >= 3, np.clip(odds, -4, 6) / 4 * seen.sum(axis=0) / (seen.sum(axis=0) + 6), 0)
+        odds = _odds(seen[0], seen[1], n)
+        table[:, 0] += odds
+        without.append([_odds(np.maximum(seen[0] - 1, 0), seen[1], n) - odds, _odds(seen[0], np.maximum(seen[1] - 1, 0), n) - odds])
+    counts = ends - first
+    without = [(w[word], np.add.reduceat(g[grams], first) / np.sqrt(counts)) for w, g in zip(*without)]
+
+    def left_out(x, k, label):
+        """Inputs x of words k as a text of the label sees them: without itself."""
+        x = x.copy()
+        x[..., 0] += without[label][0][k]
+        x[..., DIM] += without[label][1][k]
+        return x
+
     owner, start = _windows([len(k) for k in ids])
     offset = np.cumsum([0, *map(len, ids)])
     flat = np.concatenate([*ids, np.zeros(1, dtype=np.int64)])
@@ -197,8 +217,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         mask = at < length[owner[k], None]
         return flat[np.where(mask, offset[owner[k], None] + at, len(flat) - 1)], mask
 
-    prior = net.inputs(feats)[:, [0, DIM]].sum(axis=1)
-    score = np.concatenate([np.where(m, prior[t], -9).max(axis=1) for t, m in (view(k) for k in np.array_split(np.arange(len(owner)), max(1, len(owner) // 4096)))])
+    every = np.arange(len(place) or 1)
+    prior = np.stack([left_out(net.inputs(feats), every, label)[:, [0, DIM]].sum(axis=1) for label in (0, 1)])
+    score = np.concatenate([np.where(m, prior[y[owner[k], None], t], -9).max(axis=1) for k in np.array_split(np.arange(len(owner)), max(1, len(owner) // 4096)) for t, m in [view(k)]])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.dense.items()}
     squares = {"word": np.full(len(net.word), 1e-8, np.float32), "gram": np.full(len(net.gram), 1e-8, np.float32)}
     step = 0
@@ -217,7 +238,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
             count = ends[uniq] - first[uniq]
             part = np.concatenate([grams[first[i] : ends[i]] for i in uniq])
             sub = (word[uniq], part, np.cumsum(count) - count)
-            x = net.inputs(sub)[inverse]
+            own = net.inputs(sub)
+            x = np.stack([left_out(own, uniq, label) for label in (0, 1)])[y[owner[k], None], inverse]
             g, dx = net.gradient(x, mask, y[owner[k]], weight_of[k])
             step += 1
             for name, grad in g.items():  # Adam
@@ -233,8 +255,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 np.add.at(total, at, grad)
                 squares[name][b] += (total * total).mean(axis=1)  # Adagrad
                 getattr(net, name)[b] -= EMBEDDING_RATE * total / np.sqrt(squares[name][b])[:, None]
-        gates = net.gates(net.inputs(feats))
-        score = np.concatenate([net.forward(gates[0][t], gates[1][t], m) for t, m in (view(k) for k in np.array_split(np.arange(len(owner)), max(1, len(owner) // 2048)))])
+        score = np.empty(len(owner))
+        for label in (0, 1):
+            gates = net.gates(left_out(net.inputs(feats), every, label))
+            mine = np.flatnonzero(y[owner] == label)
+            for k in np.array_split(mine, max(1, len(mine) // 2048)):
+                t, m = view(k)
+                score[k] = net.forward(gates[0][t], gates[1][t], m)
     return net
 
 
@@ -322,19 +349,17 @@ def _scores(model, texts: list[str]) -> np.ndarray:
 
 def score_documents(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs (every column) whose score is below the threshold."""
-    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -342,4 +367,4 @@ def clean_documents(docs: DataFrame, model, threshold: float = THRESHOLD) -> Dat
             scores = _scores(model, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
