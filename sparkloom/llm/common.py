@@ -130,7 +130,3 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) ->
 def whole_text(col: str = "text"):
     """The text, empty for null."""
     return F.coalesce(F.col(col), F.lit(""))
-
-
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

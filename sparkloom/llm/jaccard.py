@@ -1,52 +1,61 @@
 """N-gram Jaccard join with count vectors in R-trees.
 
 Which documents are linked: those whose sets of word shingles have a Jaccard similarity of at least `SIMILARITY` %.
-Equal sets are one vertex. Pairs of different sets meet where they share a shingle of their prefixes (the rarest
-`n - ceil(0.8 n) + 1` of each; two linked sets always do); rarity is known for heavy shingles only, any order is exact.
-
-1. Each set meets the hubs of its prefix shingles (the set that shares the largest part of its prefix with others) and a
-   few sets beside it in a random order of each shingle's own. The links join large groups of near copies into components
-   without comparing all their pairs.
-2. Shingles whose sets still lie in different components are settled in cells of bounded size (a frequent shingle is
-   split into blocks, each pair of blocks a cell). In a cell every set is a point: its shingles are hashed into `GROUPS`
-   groups, and the group counts are indexed in an R-tree. The sum of coordinate minima bounds the overlap with a point,
-   or with all points of a node. First each set's best partner in every other component is verified, then, of shingles
-   that are still open, every pair that the bound leaves.
-3. Components of links, by label propagation with pointer jumping over the components so far, give each document its class.
+Equal sets are one vertex. A set is a point: its shingles are hashed into `GROUPS` groups, and the group counts are
+indexed in R-trees. The sum of coordinate minima bounds the overlap of two points, or of two nodes by their maxima; a
+tree joined with itself gives the pairs that the bound leaves, and these are verified on the sets themselves.
+
+A forest of trees keeps the join from being quadratic. Two linked sets always share a shingle of their prefixes (the
+rarest `n - ceil(0.8 n) + 1` of each; rarity is known for heavy shingles only, any order is exact), so there are trees for
+shingles, not for all points:
+
+1. Each point is in the trees of `SEEDS` of its shared prefix shingles (those of the least hashes, so that near copies
+   choose alike), sorted and cut into trees of `CELL` points and `CELL_SHINGLES` shingles at most, wherever a hot shingle
+   falls. Of each tree, every point gives its most likely partner and the partner that most others have. This joins groups
+   of near copies into components without comparing all their pairs.
+2. Every prefix shingle whose sets still lie in different components has a tree (a frequent one is dealt into blocks, with
+   a tree for each pair of blocks). Each point gives its most likely partner of every other component.
+3. Shingles of trees that left out a pair in 2, and whose sets still lie in different components, give every pair.
+
+Components of links, by label propagation with pointer jumping over the components so far, give each document its class.
 
 Vertices and shingles are 64-bit hashes (n sets collide with a chance of n^2 / 2^65). Whole sets are shuffled only for
-pairs that the bound leaves, in blocks of pairs: a Bloom filter of fixed size picks them while the texts are read again.
+pairs that the bound leaves, in blocks of one tree's pairs each, cut by bytes: a Bloom filter of fixed size picks them
+while the texts are read again.
 
 Edge cases: null text, or text without words, has the empty set and links with nothing; fewer words than a shingle's are
 one shingle; rows that repeat a doc_id each keep a row; a null doc_id never names a component unless alone in it; an
-empty table gives an empty table; other columns are ignored. Texts are read whole.
+empty table gives an empty table; other columns are ignored, whatever their names. Texts are read whole, in segments.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, shared_dir, stored, whole_text
+from .common import Scratch, map_arrow, shared_dir, spread_join, stored, unused, whole_text
 
 WORDS, SIMILARITY = 5, 80
 GROUPS = 512
 #: A shingle counts as heavy from so many documents on; so many heavy ones at most are told to all tasks.
 HEAVY_LOCAL, HEAVY, MOST_HEAVY = 4, 32, 400_000
-#: Hubs, and other partners, of a set in the first pass.
-PARTNERS = 2
-CELL = 1024
+#: Trees of a point in the first pass.
+SEEDS = 3
+#: Points, and shingles of all its points, of a tree.
+CELL, CELL_SHINGLES = 1024, 2_000_000
 LEAF = 16
-#: Pairs of a block that is verified at once.
-BLOCK_PAIRS = 10_000
-#: Pairs that a task remembers, so as not to repeat them.
-SEEN_PAIRS = 500_000
+#: Pairs that are bounded at once.
+STEP_PAIRS = 4096
+#: A key is hot from one part in so many of all rows on.
+HOT_KEYS = 1000
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 18
 BLOOM_BITS = 24
 _U = np.uint64
 #: fixed values: odd constants of multiplicative hashing
@@ -61,19 +70,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class _Powers:
-    """Powers of _R and of its inverse modulo 2^64, as many as were asked for."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int):
-        if len(self.up) < n:
-            self.up, self.down = (np.concatenate([np.ones(1, dtype=np.uint64), np.full(2 * n, r, dtype=np.uint64).cumprod(dtype=np.uint64)]) for r in (_R, _R_INVERSE))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
@@ -87,20 +83,35 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     for k, t in enumerate(texts):
         group.append(t.encode("utf-8", "surrogatepass"))
         size += len(group[-1])
-        if size > 1 << 20 or k == len(texts) - 1:
+        if size > SEGMENT or k == len(texts) - 1:
             out += _shingle_group(group, words)
             group, size = [], 0
     return out
 
 
-def _shingle_group(raw: list[bytes], words: int) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of data, which ends in a blank; hashed in segments, so that memory stays bounded."""
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank])))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _POWERS.get(len(data))
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((_FOLD[data].astype(np.uint64) + _U(1)) * up, dtype=np.uint64)])
-    word = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts
+    cut = np.append(np.searchsorted(starts, np.arange(0, len(data), SEGMENT)), len(starts))
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    for a, b in zip(cut.tolist(), cut[1:].tolist()):
+        if a < b:
+            at, to, size = starts[a], ends[b - 1], ends[a:b] - starts[a:b]
+            place = np.arange(at, to) - np.repeat(starts[a:b], np.diff(np.append(starts[a:b], to)))
+            values = ((place.astype(np.uint64) << _U(8)) + _FOLD[data[at:to]] + _U(1)) * _U(_R)
+            values = (values ^ (values >> _U(31))) * _U(_M)
+            values[blank[at:to]] = 0
+            hashes[a:b] = _mix(np.add.reduceat(values ^ (values >> _U(32)), starts[a:b] - at) + size.astype(np.uint64))
+    return hashes, starts
+
+
+def _shingle_group(raw: list[bytes], words: int) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    word, starts = _word_hashes(data)
     bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in raw)]))
     n = len(word) - words + 1
     grams = _mix(sum((word[k : k + n] * _U(_STEPS[k]) for k in range(words)), np.zeros(max(0, n), dtype=np.uint64))) if n > 0 else np.zeros(0, dtype=np.uint64)
@@ -190,29 +201,51 @@ def _keys(words: int, heavy):
 
 
 def _buckets(batches):
-    """From rows sorted by token and mixed: token, vertex and the vertex before it, of tokens with two vertices or more."""
+    """From rows sorted by token and mixed: token and vertex of tokens with two vertices or more."""
     last = None  # token, mixed of a row whose successor is not yet known; whether its token was written before
     for batch in batches:
         token, mixed = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
         if not len(token):
             continue
-        before = None
+        before = last is not None and last[2]
         if last is not None:
-            token, mixed, before = np.append(_U(last[0]), token), np.append(_U(last[1]), mixed), last[2]
+            token, mixed = np.append(_U(last[0]), token), np.append(_U(last[1]), mixed)
         fresh = np.append(True, (token[1:] != token[:-1]) | (mixed[1:] != mixed[:-1]))
         token, mixed = token[fresh], mixed[fresh]
-        own = (mixed * _U(_R_INVERSE)) ^ token
         same = token[1:] == token[:-1]
-        linked = np.append(before is not None, same)  # to the row before
-        shared = linked | np.append(same, False)
-        previous = np.append(_U(before or 0), own[:-1])
-        emit = shared.copy()
+        linked = np.append(before, same)  # to the row before
+        emit = linked | np.append(same, False)
         emit[-1] = False
-        yield pa.RecordBatch.from_arrays([_signed(token[emit]), _signed(own[emit]), pa.array(previous[emit].view(np.int64), mask=~linked[emit])], names=["token", "vertex", "previous"])
-        last = (int(token[-1]), int(mixed[-1]), int(previous[-1]) if linked[-1] else None)
-    if last is not None and last[2] is not None:
+        yield pa.RecordBatch.from_arrays([_signed(token[emit]), _signed(((mixed * _U(_R_INVERSE)) ^ token)[emit])], names=["token", "vertex"])
+        last = (int(token[-1]), int(mixed[-1]), bool(linked[-1]))
+    if last is not None and last[2]:
         own = (last[1] * _R_INVERSE & (1 << 64) - 1) ^ last[0]
-        yield pa.RecordBatch.from_arrays([_signed(np.array([x], dtype=np.uint64)) for x in (last[0], own, last[2])], names=["token", "vertex", "previous"])
+        yield pa.RecordBatch.from_arrays([_signed(np.array([x], dtype=np.uint64)) for x in (last[0], own)], names=["token", "vertex"])
+
+
+def _starts(rows: pa.Table, keys: int) -> np.ndarray:
+    """First rows of the runs that agree in the first `keys` columns, and the number of rows."""
+    columns = [rows.column(k).to_numpy() for k in range(keys)]
+    return np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1, [len(rows)]])
+
+
+def _chunks(batches, keys: int, split=None):
+    """Tables of whole runs, from sorted rows; split(table) may cut a run that grows."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        last = int(_starts(rows, keys)[-2])
+        if last:
+            yield rows.slice(0, last)
+        held = rows.slice(last)
+        if split is not None:
+            *full, held = split(held)
+            yield from full
+    if held is not None:
+        yield held
 
 
 def _gather(words: int, bloom):
@@ -229,109 +262,243 @@ def _gather(words: int, bloom):
     return run
 
 
-def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """The pairs (a, b) of a block whose sets are similar enough; sets: vertex, shingles."""
-    of = {v: np.frombuffer(x.as_buffer(), dtype=np.uint64) for v, x in zip(sets.column("vertex").to_pylist(), sets.column("shingles"))}
-    pairs = pairs.select(["a", "b"])
-    keep = []
-    for x, y in zip(*(c.to_pylist() for c in pairs.columns)):
-        both = np.sort(np.concatenate([of[x], of[y]]), kind="stable")
-        common = int((both[1:] == both[:-1]).sum())
-        keep.append(100 * common >= SIMILARITY * (len(both) - common))
-    return pairs.filter(pa.array(keep, pa.bool_()))
-
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= SIMILARITY * (len(both) - common)
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.
 
-    Pairs are dealt in blocks by both their vertices, so that a set travels once for each of its blocks, not for each of
-    its pairs, and a block's size stays bounded however many pairs a vertex has.
-    """
-    bloom = _bloom(pairs.select(F.explode(F.array("a", "b")).alias("vertex")))
-    sets = stored(texts.mapInArrow(_gather(words, bloom), "vertex long, shingles binary").groupBy("vertex").agg(F.min("shingles").alias("shingles")), "sets")
-    side = max(1, math.ceil(math.sqrt(pairs.count() / BLOCK_PAIRS)))
-    at = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(side))
-    dealt = pairs.withColumn("block", at("a") * side + at("b"))
-    need = dealt.select(F.col("block").alias("of"), F.explode(F.array("a", "b")).alias("vertex")).distinct().join(sets, "vertex")
-    return dealt.groupBy("block").cogroup(need.groupBy("of")).applyInArrow(_verify, "a long, b long")
+def _verify(batches):
+    """From rows (block, kind, a, b, shingles) sorted by block and kind, sets (kind 0, of vertex a) before pairs: the similar pairs."""
+    for chunk in _chunks(batches, 1):
+        start = _starts(chunk, 1).tolist()
+        for s, e in zip(start, start[1:]):
+            rows = chunk.slice(s, e - s)
+            n = int((rows.column("kind").to_numpy() == 0).sum())
+            a, b = (rows.column(c).slice(n).to_numpy() for c in ("a", "b"))
+            of = {v: np.frombuffer(x.as_buffer(), dtype=np.uint64) for v, x in zip(rows.column("a").slice(0, n).to_pylist(), rows.column("shingles").slice(0, n))}
+            keep = np.array([similar(of[x], of[y]) for x, y in zip(a.tolist(), b.tolist())], dtype=bool)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
 
-def _bounded_batches(batches):
-    for batch in batches:
-        n = len(batch)
-        v = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(n, GROUPS) for k in (2, 3)]
-        excess, size = (np.stack([batch.column(k).to_numpy() for k in ks]) for ks in ((4, 5), (6, 7)))
-        bound = np.minimum(*v).sum(axis=1, dtype=np.int64) + excess.min(axis=0)
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((100 + SIMILARITY) * bound >= SIMILARITY * size.sum(axis=0)))
-
-
-def bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose count vectors leave a chance."""
-    side = lambda x: vectors.select(F.col("vertex").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("counts", "excess", "n")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", *[f"{c}_{x}" for c in ("counts", "excess", "n") for x in "ab"]).mapInArrow(_bounded_batches, "a long, b long")
+def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; a pair's block says in whose company it is verified."""
+    bloom = _bloom(pairs.select(F.explode(F.array("a", "b")).alias("vertex")))
+    sets = map_arrow(texts, _gather(words, bloom), "vertex long, shingles binary").groupBy("vertex").agg(F.first("shingles").alias("shingles"))
+    need = pairs.select("block", F.explode(F.array("a", "b")).alias("vertex")).distinct().join(sets, "vertex")
+    rows = need.select("block", F.lit(0).alias("kind"), F.col("vertex").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = rows.unionByName(pairs.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    return map_arrow(rows.repartition("block").sortWithinPartitions("block", "kind"), _verify, "a long, b long")
 
 
 class RTree:
-    """Points (count vectors) in nodes of `LEAF` children each; a node has its points' coordinate maxima and least size."""
+    """Points (count vectors) in nodes of `LEAF` children each; a node has its points' coordinate maxima, and least and largest size."""
 
     def __init__(self, counts: np.ndarray, excess: np.ndarray, size: np.ndarray):
         order = np.lexsort((*counts[:, :4].T, size))
-        self.levels = [(counts[order], excess[order], size[order], order)]
+        self.order = order
+        self.levels = [(counts[order], excess[order], size[order], size[order])]
         while len(self.levels[-1][0]) > 1:
-            c, e, s, _ = self.levels[-1]
+            c, e, low, high = self.levels[-1]
             cut = np.arange(0, len(c), LEAF)
-            self.levels.append((np.maximum.reduceat(c, cut), np.maximum.reduceat(e, cut), np.minimum.reduceat(s, cut), None))
-            if len(cut) == 1:
-                break
+            self.levels.append((np.maximum.reduceat(c, cut), np.maximum.reduceat(e, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
     def query(self, counts: np.ndarray, excess: int, size: int) -> np.ndarray:
-        """Points that may overlap the given one enough: 9 * overlap >= 4 * (size + theirs) for 80 %."""
+        """Points that may be similar to the given one."""
         at = np.arange(len(self.levels[-1][0]))
         for level in range(len(self.levels) - 1, -1, -1):
-            c, e, s, order = self.levels[level]
+            c, e, low, high = self.levels[level]
             bound = np.minimum(c[at], counts).sum(axis=1, dtype=np.int64) + np.minimum(e[at], excess)
-            at = at[(100 + SIMILARITY) * bound >= SIMILARITY * (size + s[at])]
+            near = (100 * high[at] >= SIMILARITY * size) & (100 * size >= SIMILARITY * low[at])
+            at = at[near & ((100 + SIMILARITY) * bound >= SIMILARITY * (size + low[at]))]
             if level:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[level - 1][0])]
-        return order[at]
-
-
-def _cells(best: bool):
-    """Pairs of different components that the bound leaves; if best, a set's most promising one of each component only."""
-
-    def pairs_of(cell):
-        key, part, side = (np.array([x[k] for x in cell], dtype=np.int64) for k in ("vertex", "part", "side"))
-        counts = np.frombuffer(b"".join(x["counts"] for x in cell), dtype=np.uint8).reshape(len(cell), GROUPS)
-        excess, size = (np.array([x[k] for x in cell], dtype=np.int64) for k in ("excess", "n"))
-        tree, two = RTree(counts, excess, size), side.any()
-        for k in range(len(cell)):
-            if two and side[k]:
-                continue  # two blocks: the first one's points are queries
-            hit = tree.query(counts[k], excess[k], size[k])
-            hit = hit[(part[hit] != part[k]) & ((side[hit] == 1) if two else (hit > k))]
-            if best and len(hit) > 1:
-                bound = np.minimum(counts[hit], counts[k]).sum(axis=1, dtype=np.int64) / (size[hit] + size[k])
-                hit = hit[np.lexsort((-bound, part[hit]))]
-                hit = hit[np.append(True, part[hit][1:] != part[hit][:-1])]
-            for x in key[hit].tolist():
-                yield min(int(key[k]), x), max(int(key[k]), x)
+        return self.order[at]
+
+    def join(self, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of points that may be similar, and how much of their sizes' sum their overlap may be.
+
+        Nodes meet from the root down: 9 * overlap >= 4 * (size + size) is what 80 % takes, and 5 * size >= 4 * size.
+        """
+        i = j = np.zeros(1, dtype=np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            c, e, low, high = self.levels[level]
+            if level < len(self.levels) - 1:
+                step = np.arange(LEAF)
+                i, j = (np.broadcast_to(x, (len(i), LEAF, LEAF)).ravel() for x in ((i[:, None] * LEAF + step)[:, :, None], (j[:, None] * LEAF + step)[:, None, :]))
+                inside = (i < j if level == 0 else i <= j) & (i < len(c)) & (j < len(c))
+                i, j = i[inside], j[inside]
+            elif level == 0:  # a single point
+                return i[:0], j[:0], np.zeros(0)
+            near = 100 * high[i] >= SIMILARITY * low[j]  # sizes ascend
+            if level == 0 and allowed is not None:
+                near &= allowed(self.order[i], self.order[j])
+            i, j = i[near], j[near]
+            keep, share = np.zeros(len(i), dtype=bool), np.zeros(len(i))
+            for s in range(0, len(i), STEP_PAIRS):
+                a, b = i[s : s + STEP_PAIRS], j[s : s + STEP_PAIRS]
+                bound = np.minimum(c[a], c[b]).sum(axis=1, dtype=np.uint32).astype(np.int64) + np.minimum(e[a], e[b])
+                keep[s : s + STEP_PAIRS] = (100 + SIMILARITY) * bound >= SIMILARITY * (low[a] + low[b])
+                share[s : s + STEP_PAIRS] = bound / np.maximum(1, low[a] + low[b])
+            i, j, share = i[keep], j[keep], share[keep]
+        return self.order[i], self.order[j], share
+
+
+def _points(rows: pa.Table):
+    column = rows.column("counts").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    first = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
+    counts = np.frombuffer(column.buffers()[2], dtype=np.uint8, count=len(column) * GROUPS, offset=first).reshape(-1, GROUPS)
+    return counts, *(rows.column(c).to_numpy() for c in ("excess", "n", "vertex"))
+
+
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Places of the first row of each last key, in the order of the keys before it."""
+    order = np.lexsort(keys)
+    last = keys[-1][order]
+    return order[np.append(True, last[1:] != last[:-1])] if len(order) else order
+
+
+def _bounded(counts, excess, size, start, allowed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one run each that the bound leaves, and their share. Runs of one leaf are joined together."""
+    length = np.diff(start)
+    run = np.repeat(np.arange(len(length)), length)
+    lone = np.where(length <= LEAF, length, 0)[run]  # a run's rows, if it is one leaf
+    i = [np.flatnonzero((run[d:] == run[:-d]) & (lone[d:] > 0)) for d in range(1, LEAF)]
+    j = np.concatenate([x + d for d, x in enumerate(i, 1)])
+    i = np.concatenate(i)
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    near = (100 * low >= SIMILARITY * high) & allowed(i, j)
+    i, j = i[near], j[near]
+    bound = np.concatenate([np.zeros(0, dtype=np.int64), *(np.minimum(counts[i[s : s + STEP_PAIRS]], counts[j[s : s + STEP_PAIRS]]).sum(axis=1, dtype=np.uint32) for s in range(0, len(i), STEP_PAIRS))])
+    bound += np.minimum(excess[i], excess[j])
+    keep = (100 + SIMILARITY) * bound >= SIMILARITY * (size[i] + size[j])
+    found = [(i[keep], j[keep], bound[keep] / np.maximum(1, size[i] + size[j])[keep])]
+    for s, e in zip(start[:-1][length > LEAF].tolist(), start[1:][length > LEAF].tolist()):
+        i, j, share = RTree(counts[s:e], excess[s:e], size[s:e]).join(lambda a, b, s=s: allowed(a + s, b + s))
+        found.append((i + s, j + s, share))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _everything(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.ones(len(a), dtype=bool)
+
+
+def likely_pairs(rows: pa.Table, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each tree (a run of rows): each point's most likely partner, and the one that most points have."""
+    counts, excess, size, _ = _points(rows)
+    i, j, share = _bounded(counts, excess, size, start, _everything)
+    a, b, both = np.append(i, j), np.append(j, i), np.append(share, share)
+    known = np.bincount(a, minlength=len(size))
+    picked = np.append(_first_of(b, -both, a), _first_of(b, -known[b], a))
+    return a[picked], b[picked]
+
+
+def open_pairs(rows: pa.Table, start: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components that the bound leaves, if best a point's most likely one of each component; runs that leave out a pair."""
+    counts, excess, size, _ = _points(rows)
+    part, side = rows.column("part").to_numpy(), rows.column("side").to_numpy()
+    length = np.diff(start)
+    two = np.repeat(np.maximum.reduceat(side, start[:-1]) > 0, length)  # two blocks: only pairs across
+    i, j, share = _bounded(counts, excess, size, start, lambda a, b: (part[a] != part[b]) & (~two[a] | (side[a] != side[b])))
+    if not best or not len(i):
+        return i, j, np.zeros(0, dtype=np.int64)
+    a, b, both = np.append(i, j), np.append(j, i), np.append(share, share)
+    label = np.unique(part, return_inverse=True)[1]
+    picked = _first_of(b, -both, a * len(part) + label[b])
+    pairs = np.unique(np.minimum(a, b)[picked] * len(part) + np.maximum(a, b)[picked])
+    run = np.repeat(np.arange(len(length)), length)
+    every, kept = np.bincount(run[i], minlength=len(length)), np.bincount(run[pairs // len(part)], minlength=len(length))
+    return pairs // len(part), pairs % len(part), np.flatnonzero(kept < every)
+
+
+_PAIRS = "block long, a long, b long, token long"
+
+
+def _blocks(a: np.ndarray, b: np.ndarray, size: np.ndarray, name: int) -> np.ndarray:
+    """Blocks of a tree's pairs of rows: the sets of each have CELL_SHINGLES shingles at most, but for single pairs."""
+    out, inside, total, block = [], set(), 0, 0
+    for x, y in zip(a.tolist(), b.tolist()):
+        more = sum(int(size[v]) for v in {x, y} - inside)
+        if inside and total + more > CELL_SHINGLES:
+            inside, total, block = set(), 0, block + 1
+            more = int(size[x]) + int(size[y])
+        inside |= {x, y}
+        total += more
+        out.append(hash((name, block)))
+    return np.array(out, dtype=np.int64)
+
+
+def _pair_batch(a, b, rows: pa.Table, start: np.ndarray, keys: int, left_out=()) -> pa.RecordBatch:
+    """Pairs of rows as pairs of vertices in blocks, each block of one run; and shingles of runs that left out a pair."""
+    length = np.diff(start)
+    run = np.repeat(np.arange(len(length)), length)
+    name = np.zeros(len(length), dtype=np.uint64)
+    for k in range(keys):
+        name = _mix(name * _U(_R) + rows.column(k).to_numpy()[start[:-1]].astype(np.int64).view(np.uint64))
+    pairs = np.unique(np.minimum(a, b) * len(rows) + np.maximum(a, b))
+    a, b = pairs // len(rows), pairs % len(rows)
+    size, key = rows.column("n").to_numpy(), rows.column("vertex").to_numpy()
+    block = name.view(np.int64)[run[a]]
+    for r in np.flatnonzero(np.add.reduceat(size, start[:-1]) > CELL_SHINGLES).tolist():
+        at = run[a] == r
+        block[at] = _blocks(a[at], b[at], size, int(name[r]))
+    left = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
+    arrays = [pa.array(block, pa.int64()), *(pa.array(x, pa.int64()) for x in left), pa.nulls(len(a), pa.int64())]
+    if len(left_out):
+        token = pa.array(rows.column(0).to_numpy()[start[:-1]][left_out], pa.int64())
+        arrays = [pa.concat_arrays([x, y]) for x, y in zip(arrays, (*[pa.nulls(len(token), pa.int64())] * 3, token))]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PAIRS.split(", ")])
+
+
+def _cut_cells(rows: pa.Table) -> list[pa.Table]:
+    """A run of one shingle's points in trees of bounded size, the last one open."""
+    size = np.cumsum(rows.column("n").to_numpy())
+    out, at = [], 0
+    while True:
+        before = size[at - 1] if at else 0
+        stop = min(at + CELL, max(at + 1, int(np.searchsorted(size, before + CELL_SHINGLES, side="right"))))
+        if stop >= len(rows):
+            return [*out, rows.slice(at)]
+        out.append(rows.slice(at, stop - at))
+        at = stop
+
+
+def _seed_trees(batches):
+    """Pairs from rows (cell, vertex, n, excess, counts) sorted by cell and vertex."""
+    for rows in _chunks(batches, 1, _cut_cells):
+        start = _starts(rows, 1)
+        a, b = likely_pairs(rows, start)
+        if len(a):
+            yield _pair_batch(a, b, rows, start, 2)
+
+
+def seed_pairs(shared: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs of the first pass. Points are dealt by ranges of (cell, vertex): no shingle, however frequent, meets in one task."""
+    seeds = shared.groupBy("vertex").agg(*[F.min(F.xxhash64("token", F.lit(k))).alias(f"s{k}") for k in range(SEEDS)])
+    rows = vectors.join(seeds, "vertex").withColumn("cell", F.explode(F.array_distinct(F.array(*[f"s{k}" for k in range(SEEDS)]))))
+    rows = rows.select("cell", "vertex", "n", "excess", "counts")
+    dealt = rows.repartitionByRange(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "vertex").sortWithinPartitions("cell", "vertex")
+    return map_arrow(dealt, _seed_trees, _PAIRS).dropDuplicates(["a", "b"])
+
+
+def _open_trees(best: bool):
+    """Pairs, and shingles that left out some, from rows sorted by shingle and pair of blocks."""
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()  # a pair meets once for every shingle that it shares
-        for batch in batches:
-            pairs = {p for cell in batch.column(0).to_pylist() for p in pairs_of(cell)} - seen
-            if len(seen) > SEEN_PAIRS:
-                seen.clear()
-            seen |= pairs
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*pairs)) or [(), ()]], names=["a", "b"])
+        for rows in _chunks(batches, 3):
+            start = _starts(rows, 3)
+            a, b, left_out = open_pairs(rows, start, best)
+            if len(a):
+                yield _pair_batch(a, b, rows, start, 3, left_out)
 
     return run
 
 
-def open_pairs(shared: DataFrame, known: DataFrame, vectors: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share a prefix shingle and may be similar; known: vertex, part."""
+def open_rows(shared: DataFrame, known: DataFrame, vectors: DataFrame, best: bool) -> DataFrame:
+    """Pairs of sets of different components that share a prefix shingle and may be similar, and shingles that left out some; known: vertex, part."""
     member = shared.select("token", "vertex").join(known, "vertex")
     tokens = member.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("y"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     # of shingles with the same sets, one
@@ -340,19 +507,26 @@ def open_pairs(shared: DataFrame, known: DataFrame, vectors: DataFrame, best: bo
     inside = member.join(tokens.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(2)), F.col("blocks")).cast("int"))
     dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", "vertex", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    cells = dealt.join(vectors, "vertex").groupBy("token", "i", "j").agg(F.collect_list(F.struct("vertex", "part", "side", "n", "counts", "excess")).alias("cell")).select("cell")
-    bound_batches(shared.sparkSession, 64)
-    out = stored(cells.mapInArrow(_cells(best), "a long, b long").distinct(), "candidates")
-    bound_batches(shared.sparkSession)
-    return out
+    cells = dealt.join(vectors, "vertex").select("token", "i", "j", "side", "vertex", "part", "n", "excess", "counts")
+    return map_arrow(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"), _open_trees(best), _PAIRS)
+
 
+def joined_evenly(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left (a table that is cheap to read) joined (left) with right, whose keys are unique, without a hot task for keys that many rows share."""
+    n = left.count()
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > n / HOT_KEYS).select(key).join(right, key)
+    return spread_join(left, right, key, hot)
 
-def merged(known: DataFrame, links: DataFrame) -> DataFrame:
-    """known (vertex, part) after links (a, b): components of the parts that they join."""
+
+def merged(known: DataFrame | None, links: DataFrame, vectors: DataFrame, keep) -> DataFrame:
+    """known (vertex, part; None: each vertex is its own part) after links (a, b): components of the parts that they join."""
+    if known is None:
+        labels = components(links)
+        return keep(vectors.select("vertex").join(labels, "vertex", "left").select("vertex", F.coalesce("part", "vertex").alias("part")), "parts")
     side = lambda x: known.select(F.col("vertex").alias(x), F.col("part").alias(f"part_{x}"))
     joined = links.join(side("a"), "a").join(side("b"), "b").filter("part_a <> part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
-    labels = components(joined).select(F.col("vertex").alias("part"), F.col("part").alias("root"))
-    return stored(known.join(labels, "part", "left").select("vertex", F.coalesce("root", "part").alias("part")), "parts")
+    labels = components(joined).filter("part <> vertex").select(F.col("vertex").alias("part"), F.col("part").alias("root"))
+    return keep(joined_evenly(known, labels, "part").select("vertex", F.coalesce("root", "part").alias("part")), "parts")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -361,12 +535,11 @@ def components(links: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("u").alias("vertex")).agg(F.least(F.min("v"), F.first("u")).alias("part"))
     while True:
         near = both.join(labels.select(F.col("vertex").alias("u"), "part"), "u").groupBy(F.col("v").alias("vertex")).agg(F.min("part").alias("near"))
-        step = labels.join(near, "vertex").select("vertex", F.col("part").alias("old"), F.least("part", "near").alias("part"))
-        jump = step.select(F.col("vertex").alias("part"), F.col("part").alias("far"))
-        new = step.join(jump, "part").select("vertex", "old", F.least("part", "far").alias("part")).checkpoint()
-        labels = new.select("vertex", "part")
-        if new.filter("old <> part").isEmpty():
+        step = labels.join(near, "vertex").select("vertex", F.col("part").alias("old"), F.least("part", "near").alias("part")).checkpoint()
+        if step.filter("old <> part").isEmpty():
             return labels
+        far = step.filter("part <> vertex").select(F.col("vertex").alias("part"), F.col("part").alias("far"))
+        labels = joined_evenly(step.select("vertex", "part"), far, "part").select("vertex", F.coalesce("far", "part").alias("part"))
 
 
 def _bloom(vertices: DataFrame):
@@ -383,46 +556,52 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, vertex, part of each row; rows of one part (null: no words) are reachable by links."""
     spark = docs.sparkSession
     shared_dir(spark)
-    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     texts = rows.select("text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = stored(rows.mapInArrow(_describe(words), _FIRST), "shingles")
-    often = first.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY).orderBy(F.desc("n"), "key").limit(MOST_HEAVY).toArrow()
-    value, count = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
-    order = np.argsort(value)
-    heavy = spark.sparkContext.broadcast((value[order], count[order]))
-    bound_batches(spark, 500)
-    keys = texts.mapInArrow(_keys(words, heavy), "token long, mixed long").repartition(parts, "token").sortWithinPartitions("token", "mixed")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    shared = stored(keys.mapInArrow(_buckets, "token long, vertex long, previous long"), "buckets")
-    bound_batches(spark, 500)
-    described = first.filter("kind = 0 and key is not null").withColumnRenamed("key", "vertex").join(shared.select("vertex").distinct(), "vertex", "left_semi")
-    vectors = stored(described.groupBy("vertex").agg(*[F.min(c).alias(c) for c in ("n", "counts", "excess")]), "vectors")
-    # 1: hubs and a few partners of each set
-    prefix = F.col("n") - F.floor((SIMILARITY * F.col("n") + 99) / 100) + 1
-    degree = shared.groupBy("vertex").agg(F.count(F.lit(1)).alias("tokens")).join(vectors.select("vertex", "n"), "vertex").select("vertex", (F.col("tokens") / prefix).alias("rank"))
-    hubs = shared.select("token", "vertex").join(degree, "vertex").groupBy("token").agg(F.max(F.struct("rank", "vertex"))["vertex"].alias("other"))
-    met = [shared.join(hubs, "token").filter("vertex <> other"), shared.filter("previous is not null").withColumnRenamed("previous", "other")]
-    chosen = []
-    for m in met:
-        counted = m.groupBy("vertex", "other").agg(F.count(F.lit(1)).alias("n"))
-        top = counted.groupBy("vertex").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "other")), False), 1, PARTNERS).alias("p"))
-        chosen.append(top.select("vertex", F.explode("p.other").alias("other")))
-    pairs = chosen[0].union(chosen[1]).select(F.least("vertex", "other").alias("a"), F.greatest("vertex", "other").alias("b")).distinct()
-    known = merged(vectors.select("vertex", F.col("vertex").alias("part")), stored(verified(stored(bounded(pairs, vectors), "pairs"), texts, words), "links"))
-    # 2: what the first pass leaves open
-    for best in (True, False):
-        known = merged(known, stored(verified(open_pairs(shared, known, vectors, best), texts, words), "links"))
-    documents = first.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("vertex"))
-    return documents.join(known, "vertex", "left").select("doc_id", "n_shingles", "vertex", F.coalesce("part", "vertex").alias("part"))
+    with Scratch(spark) as scratch:
+        keep = scratch.stored
+        first = keep(map_arrow(rows, _describe(words), _FIRST), "shingles")
+        often = first.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY).orderBy(F.desc("n"), "key").limit(MOST_HEAVY).toArrow()
+        value, count = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
+        order = np.argsort(value)
+        heavy = spark.sparkContext.broadcast((value[order], count[order]))
+        keys = map_arrow(texts, _keys(words, heavy), "token long, mixed long").repartition(parts, "token").sortWithinPartitions("token", "mixed")
+        shared = keep(map_arrow(keys, _buckets, "token long, vertex long"), "buckets")
+        described = first.filter("kind = 0 and key is not null").withColumnRenamed("key", "vertex").groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("n", "counts", "excess")])
+        vectors = keep(described.join(shared.select("vertex").distinct(), "vertex", "left_semi"), "vectors")
+        pairs = keep(seed_pairs(shared, vectors), "pairs")
+        known = merged(None, keep(verified(pairs, texts, words), "links"), vectors, keep)
+        left = shared
+        for best in (True, False):
+            found = keep(open_rows(left, known, vectors, best), "candidates")
+            pairs = found.filter("token is null").dropDuplicates(["a", "b"])
+            if not pairs.isEmpty():
+                known = merged(known, keep(verified(keep(pairs, "pairs"), texts, words), "links"), vectors, keep)
+            if best:
+                left = shared.join(found.filter("token is not null").select("token").distinct(), "token", "left_semi")
+        documents = first.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("vertex"))
+        return stored(joined_evenly(documents, known, "vertex").select("doc_id", "n_shingles", "vertex", F.coalesce("part", "vertex").alias("part")), "classes")
 
 
 def document_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach from the row's."""
     rows = similar_documents(docs, words)
     least = rows.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return joined_evenly(rows, least, "part").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _may(docs: DataFrame, doubtful: DataFrame, key: str):
+    """Two conditions on rows of docs: their doc_id may be one of doubtful's, surely isn't; a Bloom filter of fixed size decides."""
+    bits = _bloom(doubtful.select(F.xxhash64(key).alias("vertex")))
+
+    @F.pandas_udf("boolean")
+    def may(key: pd.Series) -> pd.Series:
+        low = key.to_numpy() & (1 << BLOOM_BITS) - 1
+        return pd.Series((np.frombuffer(bits.value, dtype=np.uint8)[low >> 3] >> (low & 7) & 1).astype(bool))
+
+    condition = may(F.xxhash64(F.col("doc_id").cast("long")))
+    return condition, ~condition
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -431,22 +610,24 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Rows without a doc_id or without words stay. Texts are shuffled only where a Bloom filter of fixed size says that
     their row may go; all others pass.
     """
+    id_, goes_ = unused(docs, "id", "goes")
     rows = stored(document_components(docs, words), "components")
-    goes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("component_id") < F.col("doc_id")).cast("int")).alias("__goes"), F.count(F.lit(1)).alias("n"))
-    doubtful = goes.filter("__goes = 1 or n > 1").select("doc_id", "__goes")
-    bits = _bloom(doubtful.select(F.xxhash64("doc_id").alias("vertex")))
+    goes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("component_id") < F.col("doc_id")).cast("int")).alias(goes_), F.count(F.lit(1)).alias("n"))
+    doubtful = goes.filter(f"{goes_} = 1 or n > 1").select(F.col("doc_id").alias(id_), goes_)
+    may, not_may = _may(docs, doubtful, id_)
+    asked = docs.filter(may & F.col("doc_id").isNotNull()).withColumn(id_, F.col("doc_id").cast("long")).join(doubtful, id_, "left")
+    once = asked.filter(f"{goes_} is null").select(*docs.columns)
+    twice = asked.filter(f"{goes_} = 0").dropDuplicates([id_]).select(*docs.columns)
+    return docs.filter(not_may | F.col("doc_id").isNull()).unionByName(once).unionByName(twice)
 
-    @F.pandas_udf("boolean")
-    def may_go(key: pd.Series) -> pd.Series:
-        low = key.to_numpy() & (1 << BLOOM_BITS) - 1
-        return pd.Series((np.frombuffer(bits.value, dtype=np.uint8)[low >> 3] >> (low & 7) & 1).astype(bool))
 
-    key = F.col("doc_id").cast("long")
-    marked = docs.withColumn("__key", key).withColumn("__may", may_go(F.xxhash64("__key")))
-    passed = marked.filter(~F.col("__may") | F.col("__key").isNull()).select(*docs.columns)
-    asked = marked.filter(F.col("__may") & F.col("__key").isNotNull()).join(doubtful.select(F.col("doc_id").alias("__key"), "__goes"), "__key", "left").filter("coalesce(__goes, 0) = 0")
-    twice = asked.filter("__goes = 0").dropDuplicates(["__key"])
-    return passed.unionByName(asked.filter("__goes is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))
+def _with_vertex(at: int, words: int, name: str):
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets([t or "" for t in batch.column(at).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([vertex(x) if len(x) else None for x in sets], pa.int64())], names=[*batch.schema.names, name])
+
+    return run
 
 
 def keep_one_of_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -455,25 +636,19 @@ def keep_one_of_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Rows without words stay, and so do rows of one doc_id in different groups. Texts are shuffled only where a Bloom
     filter of fixed size says that their row may go or repeats the one that stays; all others pass.
     """
-    spark = docs.sparkSession
-    rows = stored(similar_documents(docs, words).filter("part is not null").select("doc_id", "vertex", "part"), "components")
+    rows = similar_documents(docs, words).filter("part is not null").select("doc_id", "vertex", "part")
     best = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "vertex")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marks = rows.join(best.select("part", "best"), "part").groupBy("doc_id", "vertex").agg(F.max(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("vertex") == F.col("best.vertex")))).alias("__goes"), F.count(F.lit(1)).alias("n"))
-    doubtful = stored(marks.filter("__goes or n > 1").select(F.col("doc_id").alias("__id"), F.col("vertex").alias("__of"), "__goes"), "doubtful")
-    bits = _bloom(doubtful.select(F.xxhash64("__id").alias("vertex")))
-
-    @F.pandas_udf("long")
-    def vertex_in_doubt(key: pd.Series, text: pd.Series) -> pd.Series:
-        """The vertex of rows that may go; null for others and without words. One function: a second one is a second worker."""
-        low = key.to_numpy() & (1 << BLOOM_BITS) - 1
-        may = np.frombuffer(bits.value, dtype=np.uint8)[low >> 3] >> (low & 7) & 1
-        sets = (shingle_sets([x], words)[0] if m else () for m, x in zip(may, text))
-        return pd.Series([vertex(x) if len(x) else None for x in sets], dtype="Int64")
-
-    bound_batches(spark)
-    marked = docs.withColumn("__key", F.col("doc_id").cast("long")).withColumn("__vertex", vertex_in_doubt(F.xxhash64("__key"), whole_text()))
-    passed = marked.filter("__vertex is null").select(*docs.columns)
-    asked = marked.filter("__vertex is not null")
-    asked = asked.join(doubtful, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__vertex") == F.col("__of")), "left").filter("not coalesce(__goes, false)")
-    twice = asked.filter("__goes = false").dropDuplicates(["__key", "__vertex"])
-    return passed.unionByName(asked.filter("__goes is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))
+    marked = joined_evenly(rows, best.select("part", "best"), "part").filter("best is not null")
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("vertex") == F.col("best.vertex")))
+    marks = marked.groupBy("doc_id", "vertex").agg(F.bool_or(goes).alias("goes"), F.count(F.lit(1)).alias("n"))
+    id_, of_, goes_ = unused(docs, "id", "of", "goes")
+    doubtful = stored(marks.filter("goes or n > 1").select(F.col("doc_id").alias(id_), F.col("vertex").alias(of_), F.col("goes").alias(goes_)), "doubtful")
+    may, not_may = _may(docs, doubtful, id_)
+    schema = T.StructType([*docs.schema.fields, T.StructField(of_, T.LongType())])
+    asked = stored(map_arrow(docs.filter(may), _with_vertex(docs.columns.index("text"), words, of_), schema), "asked")
+    key = F.col("doc_id").cast("long")
+    judged = asked.filter(F.col(of_).isNotNull()).withColumn(id_, key).join(doubtful.withColumnRenamed(id_, f"{id_}2").withColumnRenamed(of_, f"{of_}2"), F.col(id_).eqNullSafe(F.col(f"{id_}2")) & (F.col(of_) == F.col(f"{of_}2")), "left")
+    once = judged.filter(F.col(goes_).isNull()).select(*docs.columns)
+    twice = judged.filter(~F.col(goes_)).dropDuplicates([id_, of_]).select(*docs.columns)
+    wordless = asked.filter(F.col(of_).isNull()).select(*docs.columns)
+    return docs.filter(not_may).unionByName(wordless).unionByName(once).unionByName(twice)
