@@ -521,21 +521,21 @@ def joined_evenly(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def merged(known: DataFrame | None, links: DataFrame, vectors: DataFrame, keep) -> DataFrame:
     """known (vertex, part; None: each vertex is its own part) after links (a, b): components of the parts that they join."""
     if known is None:
-        labels = components(links)
+        labels = components(links, keep)
         return keep(vectors.select("vertex").join(labels, "vertex", "left").select("vertex", F.coalesce("part", "vertex").alias("part")), "parts")
     side = lambda x: known.select(F.col("vertex").alias(x), F.col("part").alias(f"part_{x}"))
     joined = links.join(side("a"), "a").join(side("b"), "b").filter("part_a <> part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
-    labels = components(joined).filter("part <> vertex").select(F.col("vertex").alias("part"), F.col("part").alias("root"))
+    labels = components(joined, keep).filter("part <> vertex").select(F.col("vertex").alias("part"), F.col("part").alias("root"))
     return keep(joined_evenly(known, labels, "part").select("vertex", F.coalesce("root", "part").alias("part")), "parts")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """vertex, part: each linked vertex and the least vertex of its component."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct().checkpoint()
+def components(links: DataFrame, keep=stored) -> DataFrame:
+    """vertex, part: each linked vertex and the least vertex of its component; keep writes a table and reads it back."""
+    both = keep(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
     labels = both.groupBy(F.col("u").alias("vertex")).agg(F.least(F.min("v"), F.first("u")).alias("part"))
     while True:
         near = both.join(labels.select(F.col("vertex").alias("u"), "part"), "u").groupBy(F.col("v").alias("vertex")).agg(F.min("part").alias("near"))
-        step = labels.join(near, "vertex").select("vertex", F.col("part").alias("old"), F.least("part", "near").alias("part")).checkpoint()
+        step = keep(labels.join(near, "vertex").select("vertex", F.col("part").alias("old"), F.least("part", "near").alias("part")), "labels")
         if step.filter("old <> part").isEmpty():
             return labels
         far = step.filter("part <> vertex").select(F.col("vertex").alias("part"), F.col("part").alias("far"))
