@@ -19,7 +19,6 @@ import hashlib
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,9 +149,9 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     bounds = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 10 * parts + 1000).alias("b")).first()["b"] or []
     bounds = np.unique(np.array(bounds, dtype=np.int64))
 
-    @F.pandas_udf("int")
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left").astype(np.int32))
+    @F.arrow_udf("int")
+    def part_of(key: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, key.to_numpy(), side="left").astype(np.int32))
 
     # each range's first document in descending order; one row for each range
     heads = {r["part"]: r["head"] for r in rows.groupBy(part_of("key").alias("part")).agg(F.max("key").alias("head")).collect()}

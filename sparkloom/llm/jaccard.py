@@ -33,7 +33,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -591,17 +590,23 @@ def document_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return joined_evenly(rows, least, "part").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _may(docs: DataFrame, doubtful: DataFrame, key: str):
-    """Two conditions on rows of docs: their doc_id may be one of doubtful's, surely isn't; a Bloom filter of fixed size decides."""
-    bits = _bloom(doubtful.select(F.xxhash64(key).alias("vertex")))
+def _in_bloom(bits: bytes, key: pa.Array) -> np.ndarray:
+    low = key.to_numpy() & (1 << BLOOM_BITS) - 1
+    return (np.frombuffer(bits, dtype=np.uint8)[low >> 3] >> (low & 7) & 1).astype(bool)
 
-    @F.pandas_udf("boolean")
-    def may(key: pd.Series) -> pd.Series:
-        low = key.to_numpy() & (1 << BLOOM_BITS) - 1
-        return pd.Series((np.frombuffer(bits.value, dtype=np.uint8)[low >> 3] >> (low & 7) & 1).astype(bool))
 
-    condition = may(F.xxhash64(F.col("doc_id").cast("long")))
-    return condition, ~condition
+def _may(bits):
+    """A condition on rows: their doc_id may be one of those in the Bloom filter."""
+
+    @F.arrow_udf("boolean")
+    def may(key: pa.Array) -> pa.Array:
+        return pa.array(_in_bloom(bits.value, key))
+
+    return may(_id_hash())
+
+
+def _id_hash():
+    return F.xxhash64(F.col("doc_id").cast("long"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -614,18 +619,21 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = stored(document_components(docs, words), "components")
     goes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("component_id") < F.col("doc_id")).cast("int")).alias(goes_), F.count(F.lit(1)).alias("n"))
     doubtful = goes.filter(f"{goes_} = 1 or n > 1").select(F.col("doc_id").alias(id_), goes_)
-    may, not_may = _may(docs, doubtful, id_)
+    may = _may(_bloom(doubtful.select(F.xxhash64(id_).alias("vertex"))))
     asked = docs.filter(may & F.col("doc_id").isNotNull()).withColumn(id_, F.col("doc_id").cast("long")).join(doubtful, id_, "left")
     once = asked.filter(f"{goes_} is null").select(*docs.columns)
     twice = asked.filter(f"{goes_} = 0").dropDuplicates([id_]).select(*docs.columns)
-    return docs.filter(not_may | F.col("doc_id").isNull()).unionByName(once).unionByName(twice)
+    return docs.filter(~may | F.col("doc_id").isNull()).unionByName(once).unionByName(twice)
+
 
+def _with_vertex(at: int, words: int, bits):
+    """Of rows whose last column is their doc_id's hash, those in the Bloom filter, with their vertex in its place."""
 
-def _with_vertex(at: int, words: int, name: str):
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(_in_bloom(bits.value, batch.column(batch.num_columns - 1))))
             sets = shingle_sets([t or "" for t in batch.column(at).to_pylist()], words)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([vertex(x) if len(x) else None for x in sets], pa.int64())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([vertex(x) if len(x) else None for x in sets], pa.int64())], names=batch.schema.names)
 
     return run
 
@@ -643,12 +651,12 @@ def keep_one_of_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
     marks = marked.groupBy("doc_id", "vertex").agg(F.bool_or(goes).alias("goes"), F.count(F.lit(1)).alias("n"))
     id_, of_, goes_ = unused(docs, "id", "of", "goes")
     doubtful = stored(marks.filter("goes or n > 1").select(F.col("doc_id").alias(id_), F.col("vertex").alias(of_), F.col("goes").alias(goes_)), "doubtful")
-    may, not_may = _may(docs, doubtful, id_)
+    bits = _bloom(doubtful.select(F.xxhash64(id_).alias("vertex")))
     schema = T.StructType([*docs.schema.fields, T.StructField(of_, T.LongType())])
-    asked = stored(map_arrow(docs.filter(may), _with_vertex(docs.columns.index("text"), words, of_), schema), "asked")
+    asked = stored(map_arrow(docs.withColumn(of_, _id_hash()), _with_vertex(docs.columns.index("text"), words, bits), schema), "asked")
     key = F.col("doc_id").cast("long")
     judged = asked.filter(F.col(of_).isNotNull()).withColumn(id_, key).join(doubtful.withColumnRenamed(id_, f"{id_}2").withColumnRenamed(of_, f"{of_}2"), F.col(id_).eqNullSafe(F.col(f"{id_}2")) & (F.col(of_) == F.col(f"{of_}2")), "left")
     once = judged.filter(F.col(goes_).isNull()).select(*docs.columns)
     twice = judged.filter(~F.col(goes_)).dropDuplicates([id_, of_]).select(*docs.columns)
     wordless = asked.filter(F.col(of_).isNull()).select(*docs.columns)
-    return docs.filter(not_may).unionByName(wordless).unionByName(once).unionByName(twice)
+    return docs.filter(~_may(bits)).unionByName(wordless).unionByName(once).unionByName(twice)

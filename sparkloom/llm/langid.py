@@ -23,7 +23,6 @@ import re
 from urllib.parse import urlsplit
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -264,9 +263,9 @@ def _host_column(df: DataFrame):
     if "url" not in df.columns:
         return source
 
-    @F.pandas_udf("string")
-    def host(url: pd.Series) -> pd.Series:
-        return url.map(lambda u: address(u)[0])
+    @F.arrow_udf("string")
+    def host(url: pa.Array) -> pa.Array:
+        return pa.array([address(u)[0] for u in url.to_pylist()], pa.string())
 
     return F.coalesce(F.nullif(host(F.col("url").cast("string")), F.lit("")), source)
 

@@ -37,7 +37,7 @@ MOST_EPOCHS, FULL_SAMPLE = 16, 3000
 #: Of embeddings; low, so that a rare word keeps near what its counts say.
 EMBEDDING_RATE = 0.003
 #: Words of a worker's cache of inputs.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # fixed value: the odd number next to 2^64 over the golden ratio
 _EDGES = string.punctuation + "«»“”„‘’…–—¿¡"
 
