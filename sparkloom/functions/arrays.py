@@ -78,10 +78,10 @@ class ArrNamespace(CamelNames):
         return self._map(F.array_distinct)
 
     def arg_max(self) -> Expr:
-        return self._map(lambda a: let(F.transform(a, lambda x: F.when(~F.isnan(x.cast("double")), x)), lambda v: F.nullif(F.array_position(v, F.array_max(v)), F.lit(0)) - 1))
+        return self._map(lambda a: let(F.transform(a, lambda x: F.when(~F.isnan(x.try_cast("double")), x)), lambda v: F.nullif(F.array_position(v, F.array_max(v)), F.lit(0)) - 1))
 
     def arg_min(self) -> Expr:
-        return self._map(lambda a: let(F.transform(a, lambda x: F.when(~F.isnan(x.cast("double")), x)), lambda v: F.nullif(F.array_position(v, F.array_min(v)), F.lit(0)) - 1))
+        return self._map(lambda a: let(F.transform(a, lambda x: F.when(~F.isnan(x.try_cast("double")), x)), lambda v: F.nullif(F.array_position(v, F.array_min(v)), F.lit(0)) - 1))
 
     def all(self) -> Expr:
         return self._map(lambda a: F.forall(a, lambda x: F.coalesce(x.cast("boolean"), F.lit(False))))

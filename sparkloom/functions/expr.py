@@ -86,7 +86,7 @@ class Context:
             return c
         if self.partition is not None:
             return c.over(Window.partitionBy(*self.partition))
-        name = f"__total{len(self.totals)}"
+        name = f"__ord_total{len(self.totals)}"
         self.totals.append((name, c))
         return F.col(name)
 
@@ -923,7 +923,7 @@ def _spearman(pairs: Column) -> Column:
 
 def column(name: str) -> Expr:
     def build(ctx):
-        if ctx.element is None and name not in ctx.types and not name.startswith("__"):
+        if ctx.element is None and name not in ctx.types and not name.startswith("__ord"):
             raise ColumnNotFoundError(f"no column {name}; there are {', '.join(ctx.types)}")
         return F.col(f"`{name}`")
 

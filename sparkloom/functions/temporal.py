@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -192,28 +193,17 @@ class DtNamespace(CamelNames):
         if len(free) >= 7:
             raise InvalidArgumentError("every weekday is excluded")
 
-        def open_(d):
-            return (d.weekday() + 1) % 7 not in free and d.date() not in off
-
-        def one(t, k):
-            if pd.isna(t) or pd.isna(k):
-                return pd.NaT
-            step, day = pd.Timedelta(days=1), t
-            if not open_(day):
-                if roll == "raise":
-                    raise ComputeError(f"{t.date()} is no business day")
-                while not open_(day):
-                    day += step if roll == "forward" else -step
-            k = int(k)
-            while k:
-                day += step if k > 0 else -step
-                if open_(day):
-                    k -= 1 if k > 0 else -1
-            return day
+        mask, closed = [(k + 1) % 7 not in free for k in range(7)], np.array(sorted(off), dtype="datetime64[D]")
 
         @F.pandas_udf("timestamp")
         def call(t: pd.Series, k: pd.Series) -> pd.Series:
-            return pd.Series([one(x, y) for x, y in zip(t, k)], dtype="datetime64[us]")
+            out, known = pd.Series(pd.NaT, index=t.index, dtype="datetime64[us]"), t.notna() & k.notna()
+            at = t[known].to_numpy().astype("datetime64[us]")
+            day = at.astype("datetime64[D]")
+            if roll == "raise" and not np.is_busday(day, weekmask=mask, holidays=closed).all():
+                raise ComputeError("a date is no business day")
+            out[known] = np.busday_offset(day, k[known].to_numpy().astype(np.int64), roll="forward" if roll == "forward" else "backward", weekmask=mask, holidays=closed).astype("datetime64[us]") + (at - day)
+            return out
 
         return self.expr._map(lambda c, ctx: call(instant(c, ctx), days.build(ctx).cast("int")))
 

@@ -1,11 +1,12 @@
 """The frame: a Spark DataFrame with an explicit row order, immutable, planned lazily.
 
-Order columns are carried as hidden columns `__ord…`, which Catalyst prunes wherever no operation needs them. Frames of
+Order columns are carried as hidden columns `__ord…` (the one prefix that is the engine's own), which Catalyst prunes wherever no operation needs them. Frames of
 local data are in the order given; for tables, name the columns that order their rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -19,6 +20,7 @@ from ..functions.expr import CamelNames, Context, Expr, column, to_expr, truthy
 from ..types import DType, Float64, Int32, TypeClass, coerce
 
 ORD = "__ord"
+_ORDER = re.compile(ORD + r"\d+")
 
 
 def infer(values: list) -> T.DataType:
@@ -87,7 +89,7 @@ class Frame(CamelNames):
             hidden = [c for c in df.columns if c.startswith(ORD)]
             df = df.drop(*hidden).withColumns({f"{ORD}{k}": F.col(c) for k, c in enumerate(keys)})
         self._df = df
-        self._order = [c for c in df.columns if c.startswith(ORD)]
+        self._order = [c for c in df.columns if _ORDER.fullmatch(c)]
 
     # properties
 
@@ -103,11 +105,11 @@ class Frame(CamelNames):
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self._df.columns if not c.startswith("__")]
+        return [c for c in self._df.columns if not c.startswith(ORD)]
 
     @property
     def schema(self) -> dict[str, T.DataType]:
-        return {f.name: f.dataType for f in self._df.schema.fields if not f.name.startswith("__")}
+        return {f.name: f.dataType for f in self._df.schema.fields if not f.name.startswith(ORD)}
 
     @property
     def dtypes(self) -> list[T.DataType]:
@@ -213,7 +215,7 @@ class Frame(CamelNames):
                 if ctx.totals:
                     df = df.crossJoin(F.broadcast(df.agg(*[t.alias(n) for n, t in ctx.totals])))
                 if p.is_over:
-                    df = df.withColumn("__keep", c).filter("__keep")
+                    df = df.withColumn("__ord_keep", c).filter("__ord_keep")
                 else:
                     df = df.filter(c)
                 frame = frame._with(df.select(*frame.columns, *frame._order))
@@ -247,12 +249,12 @@ class Frame(CamelNames):
     def with_row_index(self, name: str = "index", offset: int = 0) -> Frame:
         """Positions from offset on: each partition of the sorted frame counts its rows, and offsets are summed over partitions."""
         keys = self._need_order()
-        part = self._df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
-        local = part.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
-        sizes = local.groupBy("__part").agg(F.max("__row").alias("__n"))
-        before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-        out = local.join(F.broadcast(before), "__part")
-        return self._with(out.select((F.col("__before") + F.col("__row") - 1 + offset).cast("long").alias(name), *self.columns, *self._order))
+        part = self._df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__ord_part", F.spark_partition_id())
+        local = part.withColumn("__ord_row", F.row_number().over(Window.partitionBy("__ord_part").orderBy(*keys)))
+        sizes = local.groupBy("__ord_part").agg(F.max("__ord_row").alias("__ord_n"))
+        before = sizes.select("__ord_part", F.coalesce(F.sum("__ord_n").over(Window.orderBy("__ord_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ord_before"))
+        out = local.join(F.broadcast(before), "__ord_part")
+        return self._with(out.select((F.col("__ord_before") + F.col("__ord_row") - 1 + offset).cast("long").alias(name), *self.columns, *self._order))
 
     # nulls
 
@@ -289,9 +291,9 @@ class Frame(CamelNames):
                 c = F.when(~F.isnan(c), c)
             if isinstance(t, T.BooleanType):
                 c = c.cast("int")
-            names.append(f"__key{k}")
-            df = df.withColumn(f"__key{k}", c)
-            key = F.col(f"__key{k}")
+            names.append(f"__ord_key{k}")
+            df = df.withColumn(f"__ord_key{k}", c)
+            key = F.col(f"__ord_key{k}")
             order.append((key.desc_nulls_last() if d else key.asc_nulls_last()) if nulls_last else (key.desc_nulls_first() if d else key.asc_nulls_first()))
         out = Frame(df.select(*self.columns, *self._order, *names))
         out._sort = (order, names)
@@ -321,7 +323,7 @@ class Frame(CamelNames):
         order = [F.col(c).desc_nulls_first() for c in self._order]
         self._need_order()
         frame = Frame(self._df)
-        names = [f"__key{k}" for k in range(len(self._order))]
+        names = [f"__ord_key{k}" for k in range(len(self._order))]
         df = self._df.withColumns({n: F.col(c) for n, c in zip(names, self._order)})
         frame = Frame(df)
         return frame._reordered([F.col(n).desc_nulls_first() for n in names], names, []) if order else frame
@@ -360,8 +362,8 @@ class Frame(CamelNames):
             return self._with(self._df.dropDuplicates(keys).select(*keys, *rest))
         row = F.struct(*self._order)
         value = F.min(F.struct(row.alias("o"), *[F.col(f"`{c}`").alias(f"v{k}") for k, c in enumerate(rest)])) if all(not isinstance(self.schema[c], (T.MapType, T.VariantType)) for c in rest) else F.min_by(F.struct(row.alias("o"), *[F.col(f"`{c}`").alias(f"v{k}") for k, c in enumerate(rest)]), row)
-        got = self._df.groupBy(*keys).agg(value.alias("__first"))
-        return self._with(got.select(*keys, *[F.col(f"__first.v{k}").alias(c) for k, c in enumerate(rest)], *[F.col(f"__first.o.{c}").alias(c) for c in self._order]))
+        got = self._df.groupBy(*keys).agg(value.alias("__ord_first"))
+        return self._with(got.select(*keys, *[F.col(f"__ord_first.v{k}").alias(c) for k, c in enumerate(rest)], *[F.col(f"__ord_first.o.{c}").alias(c) for c in self._order]))
 
     # grouping and windows
 
@@ -469,7 +471,7 @@ class Frame(CamelNames):
                 missing = missing | F.col(f"`{c}`").isNull() | (F.isnan(f"`{c}`") if isinstance(t, (T.FloatType, T.DoubleType)) else F.lit(False))
             if not self._df.filter(missing).isEmpty():
                 return False
-        a, b = (f.with_row_index("__row")._df.select("__row", *self.columns) for f in (self, other))
+        a, b = (f.with_row_index("__ord_row")._df.select("__ord_row", *self.columns) for f in (self, other))
         return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
     def write_csv(self, path: str | None = None, **options) -> str | None:

@@ -28,7 +28,7 @@ class GroupedData(CamelNames):
         return self._finish(frame) if self._finish else frame
 
     def to_dataframe(self) -> Frame:
-        made = self.frame._df.groupBy(*self.keys).agg(*(self._first() or [F.count(F.lit(1)).alias("__n")]))
+        made = self.frame._df.groupBy(*self.keys).agg(*(self._first() or [F.count(F.lit(1)).alias("__ord_n")]))
         return self._done(Frame(made.select(*self.keys, *[c for c in made.columns if c.startswith(ORD)])))
 
     to_frame = to_dataframe
@@ -38,8 +38,8 @@ class GroupedData(CamelNames):
         made = self.frame._exprs([e if not isinstance(e, str) else e for e in exprs])
         ctx = Context(self.frame._df, self.frame._order, "group", self.keys)
         now = [e for e in made if e.has_agg]
-        out = self.frame._df.groupBy(*self.keys).agg(*[e.build(ctx).alias(e.name) for e in now], *(self._first() or ([] if now else [F.count(F.lit(1)).alias("__n")])))
-        frame = Frame(out.drop("__n"))
+        out = self.frame._df.groupBy(*self.keys).agg(*[e.build(ctx).alias(e.name) for e in now], *(self._first() or ([] if now else [F.count(F.lit(1)).alias("__ord_n")])))
+        frame = Frame(out.drop("__ord_n"))
         later = [e for e in made if not e.has_agg]
         if later:
             frame = frame.with_columns(*later).select(*self.keys, *[e.name for e in made])

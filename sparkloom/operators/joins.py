@@ -15,7 +15,7 @@ from ..functions.expr import Context, to_expr, truthy
 from .frame import ORD, Frame
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
-_R = "__r_"
+_R = "__ord_r_"
 
 
 def _names(x) -> list[str]:

@@ -54,7 +54,7 @@ def _beside(frames: list[Frame], strict: bool) -> Frame:
         raise FrameError("columns of one name")
     if strict and len({f.height for f in frames}) > 1:
         raise ShapeError("frames of different heights")
-    parts = [f.with_row_index("__at")._df.select(*f.columns, F.col("__at").alias(f"{ORD}0")) for f in frames]
+    parts = [f.with_row_index("__ord_at")._df.select(*f.columns, F.col("__ord_at").alias(f"{ORD}0")) for f in frames]
     return Frame(reduce(lambda a, b: a.join(b, f"{ORD}0", "full"), parts).select(*names, f"{ORD}0"))
 
 
@@ -80,14 +80,14 @@ def explode(frame: Frame, columns, empty_as_null: bool, keep_nulls: bool) -> Fra
     if len(lists) > 1:
         sizes = [F.size(x) for x in lists]
         same = reduce(lambda a, b: a & b, [s == sizes[0] for s in sizes[1:]])
-        df = df.withColumn("__zip", F.when(same, zipped).otherwise(F.raise_error(F.lit("lists of different lengths")).cast(df.select(zipped).schema[0].dataType)))
+        df = df.withColumn("__ord_zip", F.when(same, zipped).otherwise(F.raise_error(F.lit("lists of different lengths")).cast(df.select(zipped).schema[0].dataType)))
     else:
-        df = df.withColumn("__zip", F.transform(lists[0], lambda v: F.struct(v.alias("c0"))))
+        df = df.withColumn("__ord_zip", F.transform(lists[0], lambda v: F.struct(v.alias("c0"))))
     rest = [c for c in frame.columns if c not in names]
-    out = df.select(*rest, *frame._order, F.posexplode("__zip").alias("__pos", "__row"))
-    fields = {c: F.col("__row").getField(out.schema["__row"].dataType.names[k]) for k, c in enumerate(names)}
+    out = df.select(*rest, *frame._order, F.posexplode("__ord_zip").alias("__ord_pos", "__ord_row"))
+    fields = {c: F.col("__ord_row").getField(out.schema["__ord_row"].dataType.names[k]) for k, c in enumerate(names)}
     shown = [fields[c].alias(c) if c in fields else F.col(f"`{c}`") for c in frame.columns]
-    return Frame(out.select(*shown, *frame._order, *([F.col("__pos").alias(f"{ORD}{len(frame._order)}")] if frame._order else [])))
+    return Frame(out.select(*shown, *frame._order, *([F.col("__ord_pos").alias(f"{ORD}{len(frame._order)}")] if frame._order else [])))
 
 
 def pivot(frame: Frame, index, columns: str, values: str, names: list | None = None) -> Frame:
@@ -97,9 +97,9 @@ def pivot(frame: Frame, index, columns: str, values: str, names: list | None = N
         rows = frame._df.groupBy(F.col(f"`{columns}`").alias("v")).agg(*([F.min(F.struct(*frame._order)).alias("o")] if frame._order else []))
         names = [r["v"] for r in (rows.orderBy("o") if frame._order else rows.orderBy("v")).collect()]
     order = F.struct(*frame._order) if frame._order else F.lit(0)
-    cells = frame._df.groupBy(*[F.col(f"`{k}`") for k in keys], F.col(f"`{columns}`").alias("__name")).agg(F.max_by(F.struct(F.col(f"`{values}`").alias("v")), order).alias("__v"), F.min(order).alias("__o"))
-    made = [F.max(F.when(F.col("__name").eqNullSafe(F.lit(n)), F.col("__v"))).alias(str(n)) for n in names]
-    out = cells.groupBy(*keys).agg(*made, F.min("__o").alias(f"{ORD}0"))
+    cells = frame._df.groupBy(*[F.col(f"`{k}`") for k in keys], F.col(f"`{columns}`").alias("__ord_name")).agg(F.max_by(F.struct(F.col(f"`{values}`").alias("v")), order).alias("__ord_v"), F.min(order).alias("__ord_o"))
+    made = [F.max(F.when(F.col("__ord_name").eqNullSafe(F.lit(n)), F.col("__ord_v"))).alias(str(n)) for n in names]
+    out = cells.groupBy(*keys).agg(*made, F.min("__ord_o").alias(f"{ORD}0"))
     shown = [F.col(f"`{n}`")["v"].alias(str(n)) for n in names]
     return Frame(out.select(*keys, *shown, *([f"{ORD}0"] if frame._order else [])))
 
@@ -111,9 +111,9 @@ def unpivot(frame: Frame, id_vars, value_vars=None, variable_name: str = "variab
         raise InvalidArgumentError("no columns to unpivot")
     t = _plain([frame.schema[c] for c in names])
     pairs = F.array(*[F.struct(F.lit(c).alias("n"), (F.col(f"`{c}`").cast(t) if t else F.col(f"`{c}`")).alias("v")) for c in names])
-    out = frame._df.select(*ids, *frame._order, F.posexplode(pairs).alias("__pos", "__p"))
-    last = [F.col("__pos").alias(f"{ORD}{len(frame._order)}")] if frame._order else []
-    return Frame(out.select(*ids, F.col("__p.n").alias(variable_name), F.col("__p.v").alias(value_name), *frame._order, *last))
+    out = frame._df.select(*ids, *frame._order, F.posexplode(pairs).alias("__ord_pos", "__ord_p"))
+    last = [F.col("__ord_pos").alias(f"{ORD}{len(frame._order)}")] if frame._order else []
+    return Frame(out.select(*ids, F.col("__ord_p.n").alias(variable_name), F.col("__ord_p.v").alias(value_name), *frame._order, *last))
 
 
 def transpose(frame: Frame, include_header: bool = False, header_name: str = "column", column_names=None) -> Frame:
@@ -124,13 +124,13 @@ def transpose(frame: Frame, include_header: bool = False, header_name: str = "co
     if len(names) < height:
         raise ShapeError("fewer names than rows")
     t = _plain(source.dtypes)
-    rows = source.with_row_index("__row")._df
+    rows = source.with_row_index("__ord_row")._df
     cells = F.array(*[F.struct(F.lit(c).alias("n"), (F.col(f"`{c}`").cast(t) if t else F.col(f"`{c}`")).alias("v")) for c in source.columns])
-    long = rows.select("__row", F.posexplode(cells).alias("__pos", "__p"))
-    made = [F.max(F.when(F.col("__row") == k, F.struct(F.col("__p.v").alias("v")))).alias(f"c{k}") for k in range(height)]
-    out = long.groupBy("__pos", F.col("__p.n").alias("__n")).agg(*made)
-    head = [F.col("__n").alias(header_name)] if include_header else []
-    return Frame(out.select(*head, *[F.col(f"c{k}.v").alias(str(n)) for k, n in enumerate(names)], F.col("__pos").alias(f"{ORD}0")))
+    long = rows.select("__ord_row", F.posexplode(cells).alias("__ord_pos", "__ord_p"))
+    made = [F.max(F.when(F.col("__ord_row") == k, F.struct(F.col("__ord_p.v").alias("v")))).alias(f"c{k}") for k in range(height)]
+    out = long.groupBy("__ord_pos", F.col("__ord_p.n").alias("__ord_n")).agg(*made)
+    head = [F.col("__ord_n").alias(header_name)] if include_header else []
+    return Frame(out.select(*head, *[F.col(f"c{k}.v").alias(str(n)) for k, n in enumerate(names)], F.col("__ord_pos").alias(f"{ORD}0")))
 
 
 def unstack(frame: Frame, columns, step: int, how: str = "vertical", fill_value=None) -> Frame:
@@ -138,11 +138,11 @@ def unstack(frame: Frame, columns, step: int, how: str = "vertical", fill_value=
     if step < 1 or how not in ("vertical", "horizontal"):
         raise InvalidArgumentError(f"step {step}, how {how}")
     names = [c.name if isinstance(c, Expr) else c for c in (columns if isinstance(columns, (list, tuple)) else [columns])]
-    rows = frame.with_row_index("__row")._df
+    rows = frame.with_row_index("__ord_row")._df
     height = -(-frame.height // step)
-    i = F.col("__row")
+    i = F.col("__ord_row")
     r, k = (i % max(1, height), F.floor(i / max(1, height))) if how == "vertical" else (F.floor(i / step), i % step)
-    made = [F.max(F.when(F.col("__k") == j, F.struct(F.col(f"`{c}`").alias("v")))).alias(f"{c}_{j}") for c in names for j in range(step)]
-    out = rows.withColumn("__r", r).withColumn("__k", k).groupBy("__r").agg(*made)
+    made = [F.max(F.when(F.col("__ord_k") == j, F.struct(F.col(f"`{c}`").alias("v")))).alias(f"{c}_{j}") for c in names for j in range(step)]
+    out = rows.withColumn("__ord_r", r).withColumn("__ord_k", k).groupBy("__ord_r").agg(*made)
     cell = lambda n: F.when(F.col(f"`{n}`").isNull(), F.lit(fill_value)).otherwise(F.col(f"`{n}`")["v"]).alias(n)
-    return Frame(out.select(*[cell(f"{c}_{j}") for c in names for j in range(step)], F.col("__r").alias(f"{ORD}0")))
+    return Frame(out.select(*[cell(f"{c}_{j}") for c in names for j in range(step)], F.col("__ord_r").alias(f"{ORD}0")))

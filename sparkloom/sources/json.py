@@ -30,7 +30,7 @@ def read_json(spark: SparkSession, content: str | None = None, path: str | None
             raise FrameError(f"invalid JSON: {e}") from e
         rows = got if isinstance(got, list) else [got]
     else:
-        lines = content.splitlines()[skip_lines:]
+        lines = content.split("\n")[skip_lines:]  # other line breaks may stand in a string
         for line in lines if max_lines is None else lines[:max_lines]:
             if line.strip():
                 try:

@@ -146,3 +146,27 @@ def test_streaming_windows(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert sorted(r["n"] for r in spark.sql("SELECT n FROM out_w").collect()) == [5, 5]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a", 5), (2, "b", 6), (2, "c", 7)]
+    f = sl.Frame(spark.createDataFrame(rows, "__index_level_0__ int, __row string, __key0 int"), "__key0")
+    names = ["__index_level_0__", "__row", "__key0"]
+    assert f.columns == names and list(f.schema) == names and f.df.columns == names
+    assert f.with_columns(sl.lit(1).alias("one")).columns == [*names, "one"]
+    assert f.sort("__row", descending=True).to_dict()["__key0"] == [7, 6, 5]
+    assert f.with_row_index("i").to_dict()["__row"] == ["a", "b", "c"]
+    assert f.unique("__index_level_0__").to_dict()["__row"] == ["a", "b"]
+    assert f.reverse().to_dict()["__row"] == ["c", "b", "a"]
+
+
+def test_ndjson_strings_may_hold_other_line_breaks(spark):
+    from sparkloom.sources.json import read_json
+
+    text = '{"a": "x y"}\r\n{"a": "z\u0085"}\n'
+    assert read_json(spark, text, format="ndjson").to_dict() == {"a": ["x y", "z\u0085"]}
+
+
+def test_positions_in_lists_of_text(spark):
+    f = sl.Frame(spark.createDataFrame([(1, ["b", "c", "a"]), (2, [None, "x"]), (3, [])], "k int, l array<string>"), "k")
+    assert f.select(sl.col("l").arr.arg_max().alias("m")).to_dict()["m"] == [1, 1, None]
