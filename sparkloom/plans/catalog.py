@@ -38,10 +38,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_more  # noqa: F401 registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -168,27 +171,8 @@ def predicates(t):
 
 # joins
 
-_JOIN_SQL = """SELECT {cols} FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c {how} JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON c_custkey = o_custkey"""
-
-
-def _customers_orders(t):
-    return t("customer").filter((col("c_custkey") % 3).eq(0)), t("orders").filter((col("o_orderkey") % 2).eq(0))
-
-
-def _join_query(name: str, how: str, sql_how: str):
-    def f(t):
-        c, o = _customers_orders(t)
-        return c.join(o, left_on="c_custkey", right_on="o_custkey", how=how).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
-
-    f.__name__ = name
-    query(_JOIN_SQL.format(cols="coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey, o_totalprice", how=sql_how))(f)
-
 
-for _how, _sql_how in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
-    _join_query(f"join_{_how}", _how, _sql_how)
-
-
-def _whole_join_query(how: str, sql_how: str):
+def _join_query(how: str, sql_how: str):
     def f(t):
         return t("customer").join(t("orders"), left_on="c_custkey", right_on="o_custkey", how=how).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
 
@@ -197,7 +181,7 @@ def _whole_join_query(how: str, sql_how: str):
 
 
 for _how, _sql_how in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
-    _whole_join_query(_how, _sql_how)
+    _join_query(_how, _sql_how)
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)""")
@@ -345,11 +329,6 @@ def concat_diagonal(t):
     return concat([t("region").rename({"r_regionkey": "k"}), t("nation").select(col("n_nationkey").alias("k"), "n_name")], how="diagonal")
 
 
-@query("""SELECT r_name, o_orderkey FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) USING (i)""")
-def concat_horizontal(t):
-    return concat([t("region").select("r_name"), t("orders").select("o_orderkey").head(5)], how="horizontal")
-
-
 @query("""SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) JOIN (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) USING (i)""")
 def concat_horizontal_whole(t):
     return concat([t("orders").select("o_orderkey"), t("orders").select("o_totalprice")], how="horizontal")
@@ -375,14 +354,6 @@ def row_index(t):
     return t("orders").select("o_orderkey").with_row_index("i", 100)
 
 
-@query("""SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS w FROM documents))""")
-def explode_lists(t):
-    d = t("documents").select("doc_id", col("text").str.head(60).str.split(" ").alias("word"))
-    d = d.with_columns(seq_pos("word").alias("pos"))
-    out = d.explode(["word", "pos"])
-    return out.df.select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
-
-
 @query("""SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""")
 def explode_lists_whole(t):
     d = t("documents").select("doc_id", col("text").str.split(" ").alias("word"))
