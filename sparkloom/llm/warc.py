@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, spread_join
+from .common import map_arrow, spread_join, stored
 
 END = "\r\n\r\n"
 #: Pages of a file by the most bytes of their payloads: files stay below 128 MB, but for single pages. Three records to a page.
@@ -79,20 +79,31 @@ def _write_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
 
 
-def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, original: the largest page_id of those with an equal payload, null for that page itself."""
+def _with_digest(pages: DataFrame) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    n = pages.count()
-    shared = p.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return p.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
+
+
+def payloads(pages: DataFrame) -> DataFrame:
+    """digest, largest (page_id), n, bytes of each payload, read from pages once."""
+    rows = _with_digest(pages).groupBy("digest")
+    return stored(rows.agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("html")).alias("bytes")), "payloads")
+
+
+def with_originals(pages: DataFrame, known: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """page_id, url, html, original: the largest page_id of those with an equal payload, null for that page itself; known: payloads(pages)."""
+    n = known.agg(F.sum("n")).first()[0] or 0
+    shared = known.filter((F.col("n") > 1) & (F.col("bytes") >= min_bytes))
     hot = shared.filter(F.col("n") > n / HOT_KEYS).select("digest", "largest")
-    return spread_join(p, shared.select("digest", "largest"), "digest", hot).select("page_id", "url", "html", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).alias("original"))
+    rows = spread_join(_with_digest(pages), shared.select("digest", "largest"), "digest", hot)
+    return rows.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).alias("original"))
 
 
 def write_archives(pages: DataFrame, out: str, min_bytes: int = 0) -> None:
     """Writes the WARC files of pages (page_id, url, html) to the folder out, compressed."""
-    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    rows, least = with_originals(pages, min_bytes), 0
+    known = payloads(pages)
+    longest = known.agg(F.max("bytes")).first()[0] or 0
+    rows, least = with_originals(pages, known, min_bytes), 0
     for most, of_file in FILE_PAGES:
         some = rows.filter(F.octet_length("html").between(least, most)) if longest > FILE_PAGES[0][0] else rows
         map_arrow(some, _write_batches, "value string").write.mode("append").option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", 3 * of_file).text(out)
