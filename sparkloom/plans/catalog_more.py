@@ -68,7 +68,7 @@ def str_json_decode(t):
 
 # dates
 
-_PARTS = {"h": ("hour", "hour(ts)"), "mi": ("minute", "minute(ts)"), "s": ("second", "second(ts)"), "ms": ("millisecond", "millisecond(ts) % 1000"), "us": ("microsecond", "microsecond(ts) % 1000000"), "ns": ("nanosecond", "microsecond(ts) % 1000000 * 1000"), "iy": ("iso_year", "isoyear(ts)"), "w": ("week", "weekofyear(ts)"), "c": ("century", "century(ts)"), "m": ("millennium", "millennium(ts)"), "t": ("timestamp", "epoch_ms(ts)")}
+_PARTS = {"h": ("hour", "hour(ts)"), "mi": ("minute", "minute(ts)"), "s": ("second", "second(ts)"), "ms": ("millisecond", "millisecond(ts) % 1000"), "us": ("microsecond", "microsecond(ts) % 1000000"), "ns": ("nanosecond", "microsecond(ts) % 1000000 * 1000"), "iy": ("iso_year", "isoyear(ts)"), "w": ("week", "weekofyear(ts)"), "c": ("century", "century(ts)"), "m": ("millennium", "millennium(ts)"), "t": ("timestamp", "epoch_us(ts) // 1000")}
 
 
 @query("SELECT event_id, " + ", ".join(f"CAST({sql} AS BIGINT) AS {a}" for a, (_, sql) in _PARTS.items()) + """, year(ts) % 4 = 0 AND (year(ts) % 100 <> 0 OR year(ts) % 400 = 0) AS leap, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S.%g') AS tm, strftime(last_day(ts), '%Y-%m-%d') AS me FROM events""")
@@ -78,7 +78,7 @@ def dt_parts_all(t):
     return made.df.withColumns({a: F.col(a).cast("long") for a in _PARTS})
 
 
-@query("""SELECT event_id, round(e / 86400000.0, 6) AS d, round(e / 3600000.0, 6) AS h, round(e / 60000.0, 6) AS mi, round(e / 1000.0, 3) AS s, e AS ms, e * 1000 AS us, e * 1000000 AS ns FROM (SELECT event_id, epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-01') AS e FROM events)""")
+@query("""SELECT event_id, round(e / 86400000.0, 6) AS d, round(e / 3600000.0, 6) AS h, round(e / 60000.0, 6) AS mi, round(e / 1000.0, 3) AS s, e AS ms, e * 1000 AS us, e * 1000000 AS ns FROM (SELECT event_id, epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01') // 1000 AS e FROM events)""")
 def dt_total_units(t):
     d = (col("ts") - lit("2024-01-01").str.to_datetime()).alias("e")
     made = t("events").with_columns(d).select("event_id", *[getattr(col("e").dt, f"total_{name}")().alias(a) for a, name in (("d", "days"), ("h", "hours"), ("mi", "minutes"), ("s", "seconds"), ("ms", "milliseconds"), ("us", "microseconds"), ("ns", "nanoseconds"))])
