@@ -78,11 +78,11 @@ def dt_parts_all(t):
     return made.df.withColumns({a: F.col(a).cast("long") for a in _PARTS})
 
 
-@query("""SELECT event_id, round(e / 86400000.0, 6) AS d, round(e / 3600000.0, 6) AS h, round(e / 60000.0, 6) AS mi, round(e / 1000.0, 3) AS s, e AS ms, e * 1000 AS us, e * 1000000 AS ns FROM (SELECT event_id, epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01') // 1000 AS e FROM events)""")
+@query("""SELECT event_id, CAST(e AS DOUBLE) / 86400000 AS d, CAST(e AS DOUBLE) / 3600000 AS h, CAST(e AS DOUBLE) / 60000 AS mi, CAST(e AS DOUBLE) / 1000 AS s, e AS ms, e * 1000 AS us, e * 1000000 AS ns FROM (SELECT event_id, epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01') // 1000 AS e FROM events)""")
 def dt_total_units(t):
     d = (col("ts") - lit("2024-01-01").str.to_datetime()).alias("e")
     made = t("events").with_columns(d).select("event_id", *[getattr(col("e").dt, f"total_{name}")().alias(a) for a, name in (("d", "days"), ("h", "hours"), ("mi", "minutes"), ("s", "seconds"), ("ms", "milliseconds"), ("us", "microseconds"), ("ns", "nanoseconds"))])
-    return made.df.select("event_id", *[F.round(F.col(c).cast("double"), 3 if c == "s" else 6).alias(c) for c in ("d", "h", "mi", "s")], *[F.col(c).cast("long").alias(c) for c in ("ms", "us", "ns")])
+    return made.df.select("event_id", *[F.col(c).cast("double").alias(c) for c in ("d", "h", "mi", "s")], *[F.col(c).cast("long").alias(c) for c in ("ms", "us", "ns")])
 
 
 @query("""SELECT event_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS berlin, CAST(epoch_ms(b) - epoch_ms(ts) AS DOUBLE) / 3600000 AS hours, CAST(hour(b) AS INTEGER) AS h, strftime(date_trunc('millisecond', ts), '%S.%f') AS ms, strftime(make_timestamp(2020, month(ts), least(day(ts), 29), hour(ts), 30, second(ts)), '%Y-%m-%d %H:%M:%S') AS put
