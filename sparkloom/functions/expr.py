@@ -1,8 +1,9 @@
 """Column expressions. An `Expr` is compiled late, by `build(ctx)`, once the frame's schema, order and grouping are known.
 
 Aggregates skip null and NaN. In a projection an aggregate without `over` is one value for the whole frame: it is computed
-by a plan of its own and joined back as a single broadcast row, so no window gathers the frame in one task. Windows over
-row order use the frame's order columns; without `over` they sort the whole frame in one partition.
+by a plan of its own and joined back as a single broadcast row, so no window gathers the frame in one task. With `over` it
+is a grouped aggregation, partial before its shuffle, joined back by its keys, so no window gathers a hot group in one task.
+Windows over row order use the frame's order columns; without `over` they sort the whole frame in one partition.
 """
 
 from __future__ import annotations
@@ -43,17 +44,30 @@ class Context:
         self.df, self.order, self.mode, self.keys = df, order, mode, keys
         self.partition: list[Column] | None = None
         self.totals: list[tuple[str, Column]] = []
+        self.groups: dict[str, tuple[list[Column], list[tuple[str, Column]]]] = {}
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.element: Column | None = None
-        self.can_distinct = True
 
     def dtype(self, c: Column) -> T.DataType:
         if self.element is not None:
             return T.DoubleType()
-        df = self.df
+        return self.joined(self.df).select(c.alias("x")).schema[0].dataType
+
+    def joined(self, df):
+        """df with the aggregates that the expressions built so far need beside its rows."""
+        out = df
         if self.totals:
-            df = df.crossJoin(df.agg(*[t.alias(n) for n, t in self.totals]))
-        return df.select(c.alias("x")).schema[0].dataType
+            out = out.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in self.totals])))
+        base = out
+        for g, (keys, made) in enumerate(self.groups.values()):
+            names = [f"__ord_group{g}_key{k}" for k in range(len(keys))]
+            source = out if "__ord_group" in str([*keys, *made]) else base
+            side = source.groupBy(*[c.alias(n) for c, n in zip(keys, names)]).agg(*[c.alias(n) for n, c in made])
+            same = F.lit(True)
+            for c, n in zip(keys, names):
+                same = same & c.eqNullSafe(F.col(n))
+            out = out.join(side, same).drop(*names)
+        return out
 
     def num(self, c: Column) -> Column:
         """c as aggregates see it: NaN is null, booleans are 1 and 0, times milliseconds, text a number."""
@@ -77,15 +91,22 @@ class Context:
             raise InvalidArgumentError("this operation needs row order: give the frame order columns")
         return F.struct(*[F.col(c) for c in self.order])
 
-    def window(self):
-        return Window.partitionBy(*(self.partition or [])).orderBy(*[F.col(c).asc_nulls_last() for c in self.order])
+    def window(self, reverse: bool = False):
+        return Window.partitionBy(*(self.partition or [])).orderBy(*[F.col(c).desc_nulls_first() if reverse else F.col(c).asc_nulls_last() for c in self.order])
+
+    def running(self, reverse: bool = False):
+        """All rows up to this one, or from it on: either is a growing frame, which takes one step for each row."""
+        return self.window(reverse).rowsBetween(Window.unboundedPreceding, 0)
 
     def aggregate(self, c: Column) -> Column:
         """An aggregate where it stands: as it is in groups, over its partition, or as the whole frame's value."""
         if self.mode == "group":
             return c
         if self.partition is not None:
-            return c.over(Window.partitionBy(*self.partition))
+            made = self.groups.setdefault(str(self.partition), (self.partition, []))[1]
+            name = f"__ord_group{list(self.groups).index(str(self.partition))}_{len(made)}"
+            made.append((name, c))
+            return F.col(name)
         name = f"__ord_total{len(self.totals)}"
         self.totals.append((name, c))
         return F.col(name)
@@ -167,12 +188,12 @@ class Expr(CamelNames):
 
     def _agg(self, f: Callable[[Column, Context], Column]) -> Expr:
         def build(ctx):
-            held = ctx.mode, ctx.partition, ctx.can_distinct
-            ctx.mode, ctx.partition, ctx.can_distinct = "group", None, held[1] is None
+            held = ctx.mode, ctx.partition
+            ctx.mode, ctx.partition = "group", None
             try:
                 made = f(self.build(ctx), ctx)
             finally:
-                ctx.mode, ctx.partition, ctx.can_distinct = held
+                ctx.mode, ctx.partition = held
             return ctx.aggregate(made)
 
         return self._copy(build, is_agg=True, has_agg=True, is_literal=False)
@@ -459,7 +480,7 @@ class Expr(CamelNames):
         if strategy == "forward":
             return self._window(lambda c, ctx: F.last(c, True).over(ctx.window().rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)))
         if strategy == "backward":
-            return self._window(lambda c, ctx: F.first(c, True).over(ctx.window().rowsBetween(0, Window.unboundedFollowing if limit is None else limit)))
+            return self._window(lambda c, ctx: F.last(c, True).over(ctx.running(True)) if limit is None else F.first(c, True).over(ctx.window().rowsBetween(0, limit)))
         raise InvalidArgumentError(f"unknown strategy {strategy}")
 
     def filter(self, predicate: Expr) -> Expr:
@@ -531,7 +552,7 @@ class Expr(CamelNames):
 
     def n_unique(self, strict: bool = True) -> Expr:
         """Distinct values; null is one."""
-        return self._agg(lambda c, ctx: F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0)) if ctx.can_distinct else F.size(F.collect_set(c)) + F.max(c.isNull().cast("int")))
+        return self._agg(lambda c, ctx: F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0)))
 
     def product(self) -> Expr:
         return self._agg(lambda c, ctx: F.product(ctx.num(c)))
@@ -693,8 +714,7 @@ class Expr(CamelNames):
     # windows over row order
 
     def _running(self, f, reverse: bool) -> Expr:
-        frame = (0, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, 0)
-        return self._window(lambda c, ctx: f(ctx.num(c), ctx.window().rowsBetween(*frame)))
+        return self._window(lambda c, ctx: f(ctx.num(c), ctx.running(reverse)))
 
     def cum_sum(self, reverse: bool = False) -> Expr:
         return self._running(lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)), reverse)
@@ -709,8 +729,7 @@ class Expr(CamelNames):
         return self._running(lambda c, w: F.product(c).over(w), reverse)
 
     def cum_count(self, reverse: bool = False) -> Expr:
-        frame = (0, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, 0)
-        return self._window(lambda c, ctx: F.count(c).over(ctx.window().rowsBetween(*frame)))
+        return self._window(lambda c, ctx: F.count(c).over(ctx.running(reverse)))
 
     def _rolling(self, size: int, f) -> Expr:
         if not isinstance(size, int) or size < 1:

@@ -70,7 +70,18 @@ def group_by_dynamic(frame: Frame, index_column: Any, every: Any, period: Any =
     number = "long" if whole and float(size).is_integer() and float(shift).is_integer() else "double"
     calendar = timed and (months or p_months)
     simple = not calendar and start_by == "window" and closed == "left" and p_size <= size
-    if simple:
+    ends_right = not calendar and start_by == "window" and closed == "right" and p_size <= size
+    months_apart = timed and months in (1, 12) and p_months == months and start_by == "window" and closed == "left"
+    if months_apart:  # whole months or years, whatever the least index
+        start = F.date_trunc("month" if months == 1 else "year", F.timestamp_millis("_x"))
+        df = df.withColumn("_lower", F.unix_millis(start)).withColumn("_upper", F.unix_millis(start + F.make_ym_interval(F.lit(0), F.lit(months))))
+    elif ends_right:
+        lower = ((F.ceil((F.col("_x") - shift) / F.lit(float(size))) - 1) * F.lit(size) + F.lit(shift)).cast(number)
+        df = df.withColumn("_lower", lower)
+        if p_size < size:
+            df = df.filter(F.col("_x") <= F.col("_lower") + p_size)
+        df = df.withColumn("_upper", (F.col("_lower") + F.lit(p_size)).cast(number))
+    elif simple:
         lower = (F.floor((F.col("_x") - shift) / F.lit(float(size))) * F.lit(size) + F.lit(shift)).cast(number)
         df = df.withColumn("_lower", lower)
         if p_size < size:

@@ -18,6 +18,7 @@ from ..errors import ColumnNotFoundError, FrameError, InvalidArgumentError, Sche
 from ..functions.entry import all_, col
 from ..functions.expr import CamelNames, Context, Expr, column, to_expr, truthy
 from ..types import DType, Float64, Int32, TypeClass, coerce
+from .ranges import PART, ROW, in_ranges
 
 ORD = "__ord"
 _ORDER = re.compile(ORD + r"\d+")
@@ -162,10 +163,7 @@ class Frame(CamelNames):
                 made += [(f.name, c.getField(f.name)) for f in ctx.dtype(c).fields]
             else:
                 made.append((e.name, c))
-        df = self._df
-        if ctx.totals:
-            df = df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in ctx.totals])))
-        return df, made
+        return ctx.joined(self._df), made
 
     @staticmethod
     def _distinct(names: list[str]) -> None:
@@ -211,9 +209,7 @@ class Frame(CamelNames):
             else:
                 ctx = Context(frame._df, frame._order)
                 c = truthy(p.build(ctx), ctx)
-                df = frame._df
-                if ctx.totals:
-                    df = df.crossJoin(F.broadcast(df.agg(*[t.alias(n) for n, t in ctx.totals])))
+                df = ctx.joined(frame._df)
                 if p.is_over:
                     df = df.withColumn("__ord_keep", c).filter("__ord_keep")
                 else:
@@ -247,14 +243,16 @@ class Frame(CamelNames):
         return self.select(*names[:at], e, *names[at:])
 
     def with_row_index(self, name: str = "index", offset: int = 0) -> Frame:
-        """Positions from offset on: each partition of the sorted frame counts its rows, and offsets are summed over partitions."""
-        keys = self._need_order()
-        part = self._df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__ord_part", F.spark_partition_id())
-        local = part.withColumn("__ord_row", F.row_number().over(Window.partitionBy("__ord_part").orderBy(*keys)))
-        sizes = local.groupBy("__ord_part").agg(F.max("__ord_row").alias("__ord_n"))
-        before = sizes.select("__ord_part", F.coalesce(F.sum("__ord_n").over(Window.orderBy("__ord_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ord_before"))
-        out = local.join(F.broadcast(before), "__ord_part")
-        return self._with(out.select((F.col("__ord_before") + F.col("__ord_row") - 1 + offset).cast("long").alias(name), *self.columns, *self._order))
+        """Positions from offset on: each range of the sorted frame counts its rows, and offsets are summed over the ranges.
+
+        The ranges are made when this is called, as both the rows and the offsets must see the same ones.
+        """
+        part = in_ranges(self._df, self._need_order())
+        sizes = part.groupBy(PART).agg(F.max(ROW).alias("__ord_n"))
+        before = sizes.select(PART, F.coalesce(F.sum(F.col("__ord_n") + 1).over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ord_before"))
+        # one row for each range
+        out = part.join(F.broadcast(before), PART)
+        return self._with(out.select((F.col("__ord_before") + F.col(ROW) + offset).cast("long").alias(name), *[F.col(f"`{c}`") for c in self.columns], *self._order))
 
     # nulls
 

@@ -13,6 +13,7 @@ from ..errors import ColumnNotFoundError, InvalidArgumentError, SchemaError
 from ..functions.entry import parse_duration
 from ..functions.expr import Context, to_expr, truthy
 from .frame import ORD, Frame
+from .ranges import PART, in_ranges
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 _R = "__ord_r_"
@@ -125,8 +126,9 @@ def join_where(left: Frame, other: Frame, predicates, how: str, suffixes) -> Fra
 def join_asof(left: Frame, other: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, by=None, left_by=None, right_by=None, strategy: str = "backward", tolerance: Any = None, allow_exact_matches: bool = True, suffixes=("", "_right"), check_sorted: bool = False) -> Frame:
     """Each left row with the nearest right row by key: the last at or before, the first at or after, or the nearer.
 
-    Both sides go through one window per `by` group, ordered by key: one shuffle, no pairs of rows. The nearest of two
-    equally far rows is the earlier. A null left key, or one without a row within the tolerance, has nulls.
+    Both sides go through one window per `by` group, ordered by key: one shuffle, no pairs of rows. Without `by` the
+    windows are ranges of the key, and each range takes over the last right row before it and the first after it. The
+    nearest of two equally far rows is the earlier. A null left key, or one without a row within the tolerance, has nulls.
     """
     if strategy not in ("backward", "forward", "nearest"):
         raise InvalidArgumentError(f"unknown strategy {strategy}")
@@ -157,9 +159,14 @@ def join_asof(left: Frame, other: Frame, on: str | None = None, left_on: str | N
     a = a.withColumn("place", F.lit(None).cast(b.schema["place"].dataType))
     rows = a.unionByName(b)
     found = F.when(F.col("side") == 1, F.struct("t", "r"))
-    w = Window.partitionBy(*keys)
+    if not keys:
+        rows = in_ranges(rows, [F.col("t")])
+    w = Window.partitionBy(*(keys or [PART]))
     back = F.last(found, True).over(w.orderBy("t", F.desc("side") if allow_exact_matches else F.asc("side"), "place").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(found, True).over(w.orderBy("t", F.asc("side") if allow_exact_matches else F.desc("side"), "place").rowsBetween(0, Window.unboundedFollowing))
+    # the way back, too, is a running frame: one from each row to the end would be made anew for each row
+    ahead = F.last(found, True).over(w.orderBy(F.desc("t"), F.desc("side") if allow_exact_matches else F.asc("side"), F.desc("place")).rowsBetween(Window.unboundedPreceding, 0))
+    if not keys:
+        rows, back, ahead = _beyond_ranges(rows, found, back, ahead)
     if strategy == "nearest":
         rows = rows.withColumn("x", back).withColumn("y", ahead)
         nearer = F.col("x").isNotNull() & (F.col("y").isNull() | (F.col("t") - F.col("x.t") <= F.col("y.t") - F.col("t")))
@@ -174,5 +181,18 @@ def join_asof(left: Frame, other: Frame, on: str | None = None, left_on: str | N
     return Frame(flat.select(*columns, *[F.col(c) for c in left._order]))
 
 
+def _beyond_ranges(rows, found: Column, back: Column, ahead: Column):
+    """Rows with the nearest right rows outside their range, and what back and ahead are with them."""
+    at = F.when(F.col("side") == 1, F.struct("t", "place"))
+    ends = rows.groupBy(PART).agg(F.min_by(found, at).alias("first"), F.max_by(found, at).alias("last"))
+    # one row for each range
+    w = Window.orderBy(PART)
+    before = F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before")
+    after = F.last("first", True).over(Window.orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)).alias("after")
+    local = rows.withColumns({"back": back, "ahead": ahead})
+    joined = local.join(F.broadcast(ends.select(F.col(PART).alias("range"), before, after)), F.col(PART) == F.col("range"))
+    return joined, F.coalesce("back", "before"), F.coalesce("ahead", "after")
+
+
 def their_order_column(other: Frame) -> Column:
     return F.struct(*[F.col(f"r.`{c}`") for c in other._order]) if other._order else F.struct(F.lit(0).alias("o"))
