@@ -605,7 +605,12 @@ class Expr(CamelNames):
         scale = math.log(base) if base else 1.0
 
         def f(c, ctx):
-            weights = _counts(F.collect_list(ctx.comparable(c))) if normalize else F.filter(F.collect_list(ctx.num(c).cast("double")), lambda v: v > 0)
+            if not normalize:
+                x = ctx.num(c).cast("double")
+                w = F.when(x > 0, x)
+                total = F.sum(w)
+                return F.abs(F.ln(total) - F.sum(w * F.ln(w)) / total) / scale
+            weights = _counts(F.collect_list(ctx.comparable(c)))
 
             def of(w):
                 return let(F.aggregate(w, F.lit(0.0), lambda a, v: a + v), lambda t: F.when(t > 0, F.abs(F.aggregate(w, F.lit(0.0), lambda a, v: a - v / t * F.ln(v / t)) / scale)))

@@ -6,6 +6,7 @@ local data are in the order given; for tables, name the columns that order their
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ColumnNotFoundError, FrameError, InvalidArgumentError, SchemaError, ShapeError
+from ..errors import ColumnNotFoundError, ComputeError, FrameError, InvalidArgumentError, SchemaError, ShapeError
 from ..functions.entry import all_, col
 from ..functions.expr import CamelNames, Context, Expr, column, to_expr, truthy
 from ..types import DType, Float64, Int32, TypeClass, coerce
@@ -22,6 +23,8 @@ from .ranges import PART, ROW, in_ranges
 
 ORD = "__ord"
 _ORDER = re.compile(ORD + r"\d+")
+#: Distinct values of a key that a comparing function orders at most.
+COMPARED = 10_000
 
 
 def infer(values: list) -> T.DataType:
@@ -274,8 +277,12 @@ class Frame(CamelNames):
 
     # rows
 
-    def sort(self, by: Any = None, descending: bool | list[bool] = False, nulls_last: bool = True) -> Frame:
-        """Stable; nulls and NaN last whatever the direction (or first); the new order is (keys, old order)."""
+    def sort(self, by: Any = None, descending: bool | list[bool] = False, nulls_last: bool = True, custom_comp=None) -> Frame:
+        """Stable; nulls and NaN last whatever the direction (or first); the new order is (keys, old order).
+
+        custom_comp, a function of two values (nulls too) or a dict of them by key, orders a key's distinct values on the
+        driver; more than COMPARED of them are an error, as a Python function can't order rows where they are.
+        """
         keys = [by] if not isinstance(by, (list, tuple)) else list(by)
         exprs = self._exprs(keys)
         down = descending if isinstance(descending, list) else [descending] * len(exprs)
@@ -285,12 +292,15 @@ class Frame(CamelNames):
         order, names = [], []
         for k, ((_, c), d) in enumerate(zip(made, down)):
             t = df.select(c.alias("x")).schema[0].dataType
-            if isinstance(t, (T.FloatType, T.DoubleType)):
+            compare = custom_comp.get(keys[k] if isinstance(keys[k], str) else None) if isinstance(custom_comp, dict) else custom_comp
+            if compare is None and isinstance(t, (T.FloatType, T.DoubleType)):
                 c = F.when(~F.isnan(c), c)
-            if isinstance(t, T.BooleanType):
+            if compare is None and isinstance(t, T.BooleanType):
                 c = c.cast("int")
             names.append(f"__ord_key{k}")
             df = df.withColumn(f"__ord_key{k}", c)
+            if compare is not None:
+                df = _ranked(df, f"__ord_key{k}", compare)
             key = F.col(f"__ord_key{k}")
             order.append((key.desc_nulls_last() if d else key.asc_nulls_last()) if nulls_last else (key.desc_nulls_first() if d else key.asc_nulls_first()))
         out = Frame(df.select(*self.columns, *self._order, *names))
@@ -477,10 +487,25 @@ class Frame(CamelNames):
 
         return write_csv(self, path, **options)
 
-    def write_json(self, path: str | None = None, format: str = "json") -> str | None:
+    def write_json(self, path: str | None = None, format: str = "json", **options) -> str | None:
         from ..sources.json import write_json
 
-        return write_json(self, path, format)
+        return write_json(self, path, format, **options)
+
+
+def _ranked(df: DataFrame, name: str, compare) -> DataFrame:
+    """df with the values of a column replaced by their ranks under a comparing function; equal ones share a rank."""
+    values = [r[0] for r in df.select(name).distinct().limit(COMPARED + 1).collect()]
+    if len(values) > COMPARED:
+        raise ComputeError(f"custom_comp orders at most {COMPARED} distinct values; sort by a key expression instead")
+    ranks, rank = [], 0
+    values.sort(key=functools.cmp_to_key(compare))
+    for k, v in enumerate(values):
+        rank += k > 0 and compare(values[k - 1], v) != 0
+        ranks.append((v, rank))
+    types = T.StructType([T.StructField("__ord_value", df.schema[name].dataType), T.StructField("__ord_rank", T.LongType())])
+    made = df.join(df.sparkSession.createDataFrame(ranks, types), F.col(name).eqNullSafe(F.col("__ord_value")), "left")
+    return made.withColumn(name, F.col("__ord_rank")).drop("__ord_value", "__ord_rank")
 
 
 def exprs_without_explode(exprs: list[Expr]) -> list[Expr]:

@@ -17,8 +17,11 @@ NULLS = ("", "NA", "null", "NaN")  # fixed values: what stands for null
 _DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
-def read_csv(spark: SparkSession, content: str | None = None, path: str | None = None, separator: str = ",", quote_char: str = '"', has_header: bool = True, null_values=NULLS, schema: dict[str, DType] | None = None, infer_schema: bool = True) -> Frame:
-    """A frame of CSV text, or of the files at a path (in file order)."""
+def read_csv(spark: SparkSession, content: str | None = None, path: str | None = None, separator: str = ",", quote_char: str = '"', has_header: bool = True, null_values=NULLS, schema: dict[str, DType] | None = None, infer_schema: bool = True, multi_line: bool = True) -> Frame:
+    """A frame of CSV text, or of the files at a path (in file order).
+
+    Values at a path may hold line breaks, so one task reads a file; with multi_line=False files are split among tasks.
+    """
     if (content is None) == (path is None):
         raise InvalidArgumentError("give content or path")
     if content is not None:
@@ -31,7 +34,7 @@ def read_csv(spark: SparkSession, content: str | None = None, path: str | None =
         types = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(f"{ORD}0", T.LongType())])
         df = spark.createDataFrame([(*(r + [""] * len(names))[: len(names)], i) for i, r in enumerate(rows)], types)
     else:
-        df = spark.read.option("multiLine", True).csv(path, sep=separator, quote=quote_char, escape=quote_char, header=has_header, inferSchema=False, ignoreLeadingWhiteSpace=False)
+        df = spark.read.option("multiLine", multi_line).csv(path, sep=separator, quote=quote_char, escape=quote_char, header=has_header, inferSchema=False, ignoreLeadingWhiteSpace=False)
         if not has_header:
             df = df.toDF(*[f"column_{k}" for k in range(len(df.columns))])
         names = df.columns
@@ -63,8 +66,26 @@ def infer_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*made, *[c for c in df.columns if c.startswith(ORD)])
 
 
-def write_csv(frame: Frame, path: str | None = None, separator: str = ",", include_header: bool = True, quote_char: str = '"', quote_style: str = "necessary", null_value: str = "", line_terminator: str = "\n", date_format: str | None = None, datetime_format: str | None = None, float_decimals: int | None = None, include_bom: bool = False) -> str | None:
-    """CSV as text (in row order) without a path; with one, files that Spark's tasks write."""
+def _number(x, t: T.DataType, decimals: int | None, grouping: bool, accounting: bool):
+    """A number as text; a double that a decimal of 38 digits can't hold, NaN and infinities stand as Spark writes them."""
+    s = x.cast("string")
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        if decimals is not None:
+            s = F.coalesce(F.round(x, decimals).try_cast(f"decimal(38,{decimals})").cast("string"), s)
+        else:
+            s = F.when(x == F.floor(x), F.coalesce(x.try_cast("long").cast("string"), s)).otherwise(s)
+    if grouping:
+        sign, digits, rest = (F.regexp_extract(s, r"^(-?)(\d+)(.*)$", k) for k in (1, 2, 3))
+        s = F.when(digits != "", F.concat(sign, F.format_number(digits.try_cast("decimal(38,0)"), 0), rest)).otherwise(s)
+    return F.when(F.startswith(s, F.lit("-")), F.concat(F.lit("("), F.substr(s, F.lit(2)), F.lit(")"))).otherwise(s) if accounting else s
+
+
+def write_csv(frame: Frame, path: str | None = None, separator: str = ",", include_header: bool = True, quote_char: str = '"', quote_style: str = "necessary", null_value: str = "", line_terminator: str = "\n", date_format: str | None = None, datetime_format: str | None = None, time_format: str | None = None, float_decimals: int | None = None, use_grouping: bool = False, accounting_negatives: bool = False, include_bom: bool = False) -> str | None:
+    """CSV as text (in row order) without a path; with one, files that Spark's tasks write.
+
+    time_format is for timestamps where datetime_format is not given. float_decimals rounds half away from zero;
+    use_grouping sets commas between thousands; accounting_negatives writes -x as (x).
+    """
     if quote_style not in ("necessary", "always", "never", "non_numeric"):
         raise InvalidArgumentError(f"unknown quote style {quote_style}")
     columns, q = [], quote_char
@@ -76,9 +97,9 @@ def write_csv(frame: Frame, path: str | None = None, separator: str = ",", inclu
         elif isinstance(t, T.DateType):
             s = F.date_format(x, date_format or "yyyy-MM-dd")
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            s = F.date_format(x, datetime_format or "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-        elif isinstance(t, (T.FloatType, T.DoubleType)):
-            s = F.format_number(x, float_decimals) if float_decimals is not None else F.when(x == F.floor(x), x.try_cast("long").cast("string")).otherwise(x.cast("string"))
+            s = F.date_format(x, datetime_format or time_format or "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        elif isinstance(t, T.NumericType):
+            s = _number(x, t, float_decimals, use_grouping, accounting_negatives)
         else:
             s = x.cast("string")
         quoted = F.concat(F.lit(q), F.replace(s, F.lit(q), F.lit(q + q)), F.lit(q))

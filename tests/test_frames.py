@@ -170,3 +170,53 @@ def test_ndjson_strings_may_hold_other_line_breaks(spark):
 def test_positions_in_lists_of_text(spark):
     f = sl.Frame(spark.createDataFrame([(1, ["b", "c", "a"]), (2, [None, "x"]), (3, [])], "k int, l array<string>"), "k")
     assert f.select(sl.col("l").arr.arg_max().alias("m")).to_dict()["m"] == [1, 1, None]
+
+
+def test_sort_by_a_comparing_function(spark):
+    frame = sl.data(spark, {"k": ["b", "ccc", None, "aa", "a", "dd"], "n": [1, 2, 3, 4, 5, 6]})
+    by_length = lambda a, b: len(a or "") - len(b or "")
+    assert frame.sort("k", custom_comp=by_length).to_dict()["n"] == [3, 1, 5, 4, 6, 2]
+    assert frame.sort("k", descending=True, custom_comp={"k": by_length}).to_dict()["n"] == [2, 4, 6, 1, 5, 3]
+    assert frame.sort(["k", "n"], descending=[False, True], custom_comp={"k": by_length}).to_dict()["n"] == [3, 5, 1, 6, 4, 2]
+
+
+def test_sort_by_a_comparing_function_has_a_stated_bound(spark, monkeypatch):
+    from sparkloom.operators import frame as module
+
+    monkeypatch.setattr(module, "COMPARED", 2)
+    with pytest.raises(sl.errors.ComputeError):
+        sl.data(spark, {"k": [1, 2, 3]}).sort("k", custom_comp=lambda a, b: a - b)
+
+
+def test_csv_number_formats(spark):
+    frame = sl.data(spark, {"x": [1234567.125, -0.5, 2.0, None], "n": [-1200, 7, 0, 1]})
+    assert frame.write_csv(include_header=False) == "1234567.125,-1200\n-0.5,7\n2,0\n,1\n"
+    assert frame.write_csv(separator=";", include_header=False, use_grouping=True) == "1,234,567.125;-1,200\n-0.5;7\n2;0\n;1\n"
+    assert frame.write_csv(include_header=False, float_decimals=2, accounting_negatives=True) == "1234567.13,(1200)\n(0.50),7\n2.00,0\n,1\n"
+
+
+def test_json_lines_at_a_path_and_as_text_agree(spark, tmp_path):
+    text = '{"a":1}\n\n{"a":2,"b":"x"}\nbad\n{"a":3}\n{"a":4}\n'
+    (tmp_path / "in.json").write_text(text)
+    for options in ({"skip_lines": 1}, {"max_lines": 2}, {"skip_lines": 1, "max_lines": 2}, {"max_lines": 0}):
+        got = sl.read_json(spark, path=str(tmp_path / "in.json"), format="ndjson", skip_invalid_lines=True, **options)
+        want = sl.read_json(spark, text, format="ndjson", skip_invalid_lines=True, **options)
+        assert [r["a"] for r in got.to_dicts()] == [r["a"] for r in want.to_dicts()], options
+    with pytest.raises(Exception, match="invalid JSON"):
+        sl.read_json(spark, path=str(tmp_path / "in.json"), format="ndjson", skip_lines=1).to_dicts()
+    with pytest.raises(sl.errors.InvalidArgumentError):
+        sl.read_json(spark, path=str(tmp_path / "in.json"), format="ndjson", reviver=lambda k, v: v)
+
+
+def test_write_json_options(spark):
+    frame = sl.Frame(spark.sql("SELECT 5L AS n, DATE '2024-02-03' AS d, 'x' AS t"), order_by="n")
+    assert frame.write_json(date_format="dd.MM.yyyy", bigint_strategy="string") == '[{"n":"5","d":"03.02.2024","t":"x"}]'
+    assert frame.write_json(keys=["t"]) == '[{"t":"x"}]'
+
+
+def test_entropy_of_weights(spark):
+    import math
+
+    frame = sl.data(spark, {"w": [1.0, 3.0, 0.0, None], "z": [0.0, None, -1.0, 0.0]})
+    got = frame.select(sl.col("w").entropy(normalize=False).alias("w"), sl.col("z").entropy(normalize=False).alias("z")).to_dicts()[0]
+    assert abs(got["w"] - (math.log(4) - 3 * math.log(3) / 4)) < 1e-12 and got["z"] is None
