@@ -93,6 +93,49 @@ def test_scores_beyond_doubles_are_exact(spark):
         topk.top_k(huge, huge.filter("vec_id = 0")).collect()
 
 
+def test_copies_of_top_k_stay_in_proportion_to_the_table(spark):
+    rows = np.random.default_rng(4).standard_normal((20_000, 16))
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>").repartition(4).localCheckpoint()
+    settings = {"spark.sql.shuffle.partitions": "1500", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as for 15 GB, which no side is small for
+    held = {k: spark.conf.get(k) for k in settings}
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        before = written()
+        got = topk.top_k(df, df.filter("vec_id % 50 = 0"), 5).filter("query_id = 50").orderBy("rank").collect()
+        assert written() - before < 4 * rows.nbytes
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    whole = np.floor(256 * rows).astype(int)
+    best = sorted((-int(whole[50] @ x), k) for k, x in enumerate(whole) if k != 50)[:5]
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(n, k, -s) for n, (s, k) in enumerate(best, 1)]
+    for vectors in (10**4, 10**6, 10**8, 10**9):
+        cells, groups = topk.grid(vectors, vectors // 50, vectors // 50 * 136, topk.TASKS)
+        assert groups * topk.GROUP_BYTES >= vectors // 50 * 136 and (vectors > 10**7 or groups * vectors + cells * vectors // 50 < 6 * vectors)
+
+
+def test_top_k_of_large_tables_begins_with_a_part(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FIRST_VECTORS", 1000)
+    monkeypatch.setattr(topk, "FIRST", 3)
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 64)
+    rows = np.random.default_rng(5).integers(-3, 4, (2000, 20)) / 256
+    df = spark.createDataFrame([*enumerate(rows.tolist()), (2000, [1.0]), (2050, [2.0]), (2100, [2.0**20] * 20), (2101, [2.0**20] * 20)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
+    whole = {k: [int(256 * x) for x in v] for k, v in [*enumerate(rows.tolist()), (2000, [1.0]), (2050, [2.0]), (2100, [2.0**20] * 20), (2101, [2.0**20] * 20)]}
+    for q in range(0, 2101, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q and len(v) == len(whole[q]))[:5]
+        assert sorted(got[q]) == [(n, *x) for n, x in enumerate(best, 1)]
+
+
 # WARC
 
 

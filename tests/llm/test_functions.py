@@ -129,6 +129,44 @@ def test_top_k_is_exact():
             assert [(-s, j) for i, s, j in best.rows.tolist() if i == k] == want
 
 
+def test_top_k_is_exact_where_pairs_are_compacted():
+    r = np.random.default_rng(2)
+    for scale, dtype in ((120, np.int16), (30_000, np.int16), (1 << 21, np.int32)):
+        v = (r.standard_normal((72, 3000)) * scale / 4 * np.linspace(1, 0.02, 72)[:, None] ** 2).astype(dtype)
+        v[:, 2000:2030] = v[:, 60:90]
+        ids, depth, used = np.arange(3000), topk.Depth(), set()
+        best, queries = topk.Best(ids[::50], 5), topk.Block(ids[::50], v[:, ::50])
+        for s in range(0, 3000, 150):
+            topk.meet(best, queries, topk.Block(ids[s : s + 150], v[:, s : s + 150]), depth)
+            used.add(depth.blocks)
+        assert min(used) * topk.DIMENSIONS < 72
+        full = v[:, ::50].T.astype(np.int64) @ v.astype(np.int64)
+        for k, q in enumerate(ids[::50]):
+            want = sorted(((-full[k, j], j) for j in ids if j != q))[:5]
+            assert [(-s, j) for i, s, j in best.rows.tolist() if i == k] == want
+
+
+def test_packed_best_merge_in_bounded_parts():
+    import pyarrow as pa
+
+    r, rows = np.random.default_rng(3), {}
+    batches = []
+    for block in (7, 8):
+        for _ in range(6):
+            part = np.stack([r.integers(0, 40, 60_000) + 1000 * block, r.integers(-50, 50, 60_000) * (1 << 57), np.arange(60_000)], axis=1)
+            part[0, 1] = -(1 << 63)
+            rows.setdefault(block, []).append(part)
+            batches.append(pa.RecordBatch.from_pylist([{"block": block, **{n: np.ascontiguousarray(part[:, i]).tobytes() for i, n in enumerate(("query_id", "score", "vec_id"))}}]))
+    got = {}
+    for b in topk._merge_batches(3)(iter(batches)):
+        for x in b.to_pylist():
+            got.setdefault(x["query_id"], []).append((x["rank"], -x["score"], x["vec_id"]))
+    for held in rows.values():
+        whole = np.concatenate(held).tolist()
+        for q in {x[0] for x in whole}:
+            assert got[q] == [(n, *x) for n, x in enumerate(sorted((-s, v) for i, s, v in whole if i == q)[:3], 1)]
+
+
 def test_packing_plan_holds_every_piece():
     for counts in (np.zeros(65), np.bincount(R.choices(range(1, 65), k=5000), minlength=65), np.bincount([64] * 9 + [33] * 5, minlength=65)):
         groups = packing.plan(counts.astype(np.int64))
