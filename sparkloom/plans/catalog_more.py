@@ -111,7 +111,8 @@ _TRIG = {"asinh": "arcsinh", "atan": "arctan", "cbrt": "cbrt", "cos": "cos", "co
     round(atan2(x, 2), 6) AS arctan2, round(sqrt(x * x + 9), 6) AS hypot, CASE WHEN x < 0 THEN -abs(c_custkey) ELSE c_custkey END AS copied, -x AS neg, CAST(trunc(x * 10) AS BIGINT) AS tr FROM (SELECT c_custkey, round(c_acctbal / 4000, 3) AS x FROM customer) WHERE x <> 0""")
 def math_trig(t):
     x = col("x")
-    c = t("customer").select("c_custkey", (col("c_acctbal") / 4000)._map(lambda v, _: F.round(v, 3)).alias("x")).filter(x.ne(0))
+    # SQL rounds the scaled binary value: 0.5005 * 1000 is below 500.5, though its decimal form is a half
+    c = t("customer").select("c_custkey", (col("c_acctbal") / 4000)._map(lambda v, _: F.round(v * 1000) / 1000).alias("x")).filter(x.ne(0))
     made = c.select("c_custkey", *[getattr(x, m)().alias(m) for m in _TRIG.values()], x.expm1().alias("expm1"), x.abs().log1p().alias("log1p"), x.arcsin().alias("arcsin"), x.arccosh().alias("arccosh"), x.arctanh().alias("arctanh"), x.arctan2(2).alias("arctan2"), x.hypot(3).alias("hypot"), col("c_custkey").copysign(col("x")).alias("copied"), x.negate().alias("neg"), (x * 10).trunc().alias("tr"))
     exact = ("c_custkey", "copied", "neg", "tr")
     return made.df.select(*[F.col(n).cast("long").alias(n) if n in ("copied", "tr") else F.col(n) if n in exact else F.round(n, 6).alias(n) for n in made.columns])

@@ -58,3 +58,14 @@ def test_explode_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     made = catalog.queries()["explode_lists_whole"](spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["pos"], r["word"]) for r in made) == [(k, i, w) for k, t in enumerate(texts) for i, w in enumerate(t.split(" "))]
+
+
+def test_trig_rounds_halves_as_its_sql(spark, tmp_path):
+    halves = [(k, (4 * k + 2) / 1.0) for k in range(-250, 2500)]
+    spark.createDataFrame(halves, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = c.execute(catalog.oracle_sql()["math_trig"])
+    names = [d[0] for d in want.description]
+    made = catalog.queries()["math_trig"](spark, str(tmp_path))
+    assert rows(made.columns, made.collect(), names) == rows(names, want.fetchall(), names)
