@@ -139,6 +139,7 @@ class Expr(CamelNames):
         self.is_literal, self.is_over, self.is_unnest = literal, over, unnest
         self._selector = selector
         self.explode_options = None
+        self.parts = None
 
     def build(self, ctx: Context) -> Column:
         return self._build(ctx)
@@ -170,7 +171,7 @@ class Expr(CamelNames):
 
     def _copy(self, build: Build, **changes) -> Expr:
         out = object.__new__(type(self))
-        out.__dict__ = dict(self.__dict__) | {"_build": build} | changes
+        out.__dict__ = dict(self.__dict__) | {"_build": build, "parts": None} | changes
         return out
 
     # derivation
@@ -178,9 +179,10 @@ class Expr(CamelNames):
     def _map(self, f: Callable[[Column, Context], Column], **changes) -> Expr:
         return self._copy(lambda ctx: f(self.build(ctx), ctx), is_literal=False, **changes)
 
-    def _binary(self, other: Any, f: Callable[[Column, Column, Context], Column], names: bool = False) -> Expr:
+    def _binary(self, other: Any, f: Callable[[Column, Column, Context], Column], names: bool = False, op: str | None = None) -> Expr:
         o = to_expr(other, names)
-        out = self._copy(lambda ctx: f(self.build(ctx), o.build(ctx), ctx))
+        # what a theta join looks at: the operator and its sides, lost by whatever is derived from them
+        out = self._copy(lambda ctx: f(self.build(ctx), o.build(ctx), ctx), parts=op and (op, self, o))
         out.is_agg = (self.is_agg or o.is_agg) and (self.is_agg or self.is_literal) and (o.is_agg or o.is_literal)
         out.has_agg = self.has_agg or o.has_agg
         out.is_literal = self.is_literal and o.is_literal
@@ -387,25 +389,25 @@ class Expr(CamelNames):
     # comparison
 
     def eq(self, other) -> Expr:
-        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a == b, False))
+        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a == b, False), op="==")
 
     def ne(self, other) -> Expr:
         return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a != b, True))
 
     def gt(self, other) -> Expr:
-        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a > b, False))
+        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a > b, False), op=">")
 
     def ge(self, other) -> Expr:
-        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a >= b, False))
+        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a >= b, False), op=">=")
 
     def lt(self, other) -> Expr:
-        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a < b, False))
+        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a < b, False), op="<")
 
     def le(self, other) -> Expr:
-        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a <= b, False))
+        return self._binary(other, lambda a, b, ctx: _no_nan(a, b, ctx, a <= b, False), op="<=")
 
     def eq_missing(self, other) -> Expr:
-        return self._binary(other, lambda a, b, _: a.eqNullSafe(b))
+        return self._binary(other, lambda a, b, _: a.eqNullSafe(b), op="==")
 
     def ne_missing(self, other) -> Expr:
         return self._binary(other, lambda a, b, _: ~a.eqNullSafe(b))
@@ -439,7 +441,7 @@ class Expr(CamelNames):
         return self.is_in(values).not_()
 
     def and_(self, other) -> Expr:
-        return self._binary(other, lambda a, b, _: a & b)
+        return self._binary(other, lambda a, b, _: a & b, op="&")
 
     def or_(self, other) -> Expr:
         return self._binary(other, lambda a, b, _: a | b)

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import math
+import operator
+import re
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ColumnNotFoundError, InvalidArgumentError, SchemaError
 from ..functions.entry import parse_duration
-from ..functions.expr import Context, to_expr, truthy
+from ..functions.expr import Context, Expr, to_expr, truthy
+from ..types import is_float
 from .frame import ORD, Frame
-from .ranges import PART, in_ranges
+from .ranges import PART, ROW, in_ranges
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 _R = "__ord_r_"
+#: Rows of a block of a theta join.
+BLOCK = 4096
+_COMPARED = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
 def _names(x) -> list[str]:
@@ -99,7 +108,11 @@ def join(left: Frame, other: Frame, on, left_on, right_on, how: str, join_nulls:
 
 
 def join_where(left: Frame, other: Frame, predicates, how: str, suffixes) -> Frame:
-    """Theta join: all predicates hold; they name a clashing right column with its suffix."""
+    """Theta join: all predicates hold; they name a clashing right column with its suffix.
+
+    Equal values are left to Catalyst, which joins by them. Without any, comparisons of a left with a right value (<, <=, >,
+    >=) decide which blocks of rows meet, and without either all pairs do.
+    """
     if how not in ("inner", "left", "right"):
         raise InvalidArgumentError(f"a theta join can't be {how}")
     flat = [p for x in predicates for p in (x if isinstance(x, (list, tuple)) else [x])]
@@ -118,11 +131,106 @@ def join_where(left: Frame, other: Frame, predicates, how: str, suffixes) -> Fra
     probe = scope_left.limit(0).crossJoin(right.limit(0))
     ctx = Context(probe, [])
     condition = reduce(lambda x, y: x & y, [truthy(p.build(ctx), ctx) for p in flat])
+    conjuncts = [x for p in flat for x in _between(p, ctx, scope_left, right)]
+    between = [x for x in conjuncts if x]
     joined = scope_left.join(right, condition, how)
+    # whole rows without a match are told apart by joins, in which maps can't be
+    told_apart = len(between) == len(conjuncts) or how == "inner" or not re.search("map<|variant", (scope_left if how == "left" else right).schema.simpleString())
+    hashed = any(_hashed(p, ctx) for p in flat)
+    if between and told_apart and not hashed and not joined.isStreaming:
+        joined = _theta(scope_left, right, between, len(between) < len(conjuncts), condition, how, left._order, [names[c] for c in other._order])
     back = joined.select(*[F.col(f"`{c}`") for c in left._df.columns], *[F.col(f"`{names[c]}`").alias(f"{_R}{c}") for c in other._df.columns])
     return Frame(back.select(*columns, *_orders(left, other, "left")))
 
 
+def _hashed(p: Expr, ctx: Context) -> bool:
+    """Whether p needs two values to be equal, of types whose comparison Catalyst sees as a key."""
+    op, a, b = p.parts or (None, None, None)
+    if op == "&":
+        return _hashed(a, ctx) or _hashed(b, ctx)
+    return op == "==" and not any(x.is_literal or is_float(ctx.dtype(x.build(ctx))) for x in (a, b))
+
+
+def _between(p: Expr, ctx: Context, left, right) -> list[tuple[Column, str, Column] | None]:
+    """What p needs to hold: left value, operator, right value, of types whose order casts keep; None for any other predicate."""
+    if p.parts is None or p.has_agg or p.is_over:
+        return [None]
+    op, a, b = p.parts
+    if op == "&":
+        return [*_between(a, ctx, left, right), *_between(b, ctx, left, right)]
+    if op == "==" or a.is_literal or b.is_literal:
+        return [None]
+
+    def kind(df, c: Column) -> T.DataType | None:
+        try:
+            return df.select(c.alias("x")).schema[0].dataType
+        except AnalysisException:
+            return None
+
+    x, y = a.build(ctx), b.build(ctx)
+    for v, o, w in ((x, op, y), (y, _TURNED[op], x)):
+        s, t = kind(left, v), kind(right, w)
+        if s is not None and t is not None:
+            numbers = isinstance(s, T.NumericType) and isinstance(t, T.NumericType)
+            return [(v, o, w)] if numbers or s == t and isinstance(s, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)) else [None]
+    return [None]
+
+
+def _theta(left, right, between, more: bool, condition: Column, how: str, left_order: list[str], right_order: list[str]):
+    """The theta join of two sides whose names differ, without meeting all pairs of rows.
+
+    Rows that the other side's least and greatest values rule out are left aside. The rest of either side is cut into
+    blocks of BLOCK rows, near each other in the first two compared values; pairs of blocks whose bounds allow a match are
+    the cells in which rows meet. Each cell is a key of its own, so that neither memory nor a task grows with the input.
+    Whether a row has a match depends on its compared values, and on the rest of it if there are more predicates: rows
+    without one are those whose values no match has.
+    """
+    def valued(df, values: list[Column], name: str):
+        keys = [f"__ord_{name}{k}" for k in range(len(values))]
+        rows = df.withColumns(dict(zip(keys, values)))
+        for k in keys:
+            rows = rows.filter(F.col(k).isNotNull() & ~F.isnan(k) if is_float(rows.schema[k].dataType) else F.col(k).isNotNull())
+        return rows, keys
+
+    def ends(keys: list[str]) -> list[Column]:
+        return [f(k).alias(f"{k}_{end}") for k in keys for end, f in (("low", F.min), ("high", F.max))]
+
+    def may_match(x_end: bool, y_end: bool) -> Column:
+        """All comparisons, with the ends of either side that allow most instead of its values."""
+        made = F.lit(True)
+        for x, (_, op, _), y in zip(a_keys, between, b_keys):
+            low, high = ("_low", "_high") if op[0] == "<" else ("_high", "_low")
+            made = made & _COMPARED[op](F.col(x + low * x_end), F.col(y + high * y_end))
+        return made
+
+    def blocks(rows, keys: list[str], order: list[str], name: str):
+        cut = max(1, -(-rows.count() // BLOCK))
+        most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = min(most, cut if len(keys) == 1 else math.ceil(cut**0.5))
+        by = [F.col(k) for k in keys]
+        # rows of equal values are dealt by their order; within a range the second value leads
+        made = in_ranges(rows, by + [F.col(c) for c in order], parts, by[1:] + by[:1])
+        return made.withColumn(name, F.shiftleft(F.col(PART).cast("long"), 33) + F.floor(F.col(ROW) / BLOCK)).drop(PART, ROW)
+
+    a, a_keys = valued(left, [x for x, _, _ in between], "a")
+    b, b_keys = valued(right, [y for _, _, y in between], "b")
+    a_ends, b_ends = a.agg(*ends(a_keys)), b.agg(*ends(b_keys))
+    a = blocks(a.join(F.broadcast(b_ends), may_match(False, True)).drop(*b_ends.columns), a_keys, left_order, "__ord_a")
+    b = blocks(b.join(F.broadcast(a_ends), may_match(True, False)).drop(*a_ends.columns), b_keys, right_order, "__ord_b")
+    cells = a.groupBy("__ord_a").agg(*ends(a_keys)).join(F.broadcast(b.groupBy("__ord_b").agg(*ends(b_keys))), may_match(True, True)).select("__ord_a", "__ord_b")
+    met = a.join(cells, "__ord_a").join(b.join(cells.withColumnRenamed("__ord_a", "__ord_c"), "__ord_b").withColumnRenamed("__ord_b", "__ord_d"), (F.col("__ord_a") == F.col("__ord_c")) & (F.col("__ord_b") == F.col("__ord_d")) & condition)
+    found = met.select(*[F.col(f"`{c}`") for c in (*left.columns, *right.columns)])
+    if how == "inner":
+        return found
+    kept, values, keys = (left, [x for x, _, _ in between], a_keys) if how == "left" else (right, [y for _, _, y in between], b_keys)
+    told = [*keys, *(kept.columns if more else [])]
+    matched = met.select(*[F.col(f"`{c}`").alias(f"__ord_m{k}") for k, c in enumerate(told)]).distinct()
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"__ord_m{k}")) for k, c in enumerate(told)]
+    rest = kept.withColumns(dict(zip(keys, values))).join(matched, reduce(lambda x, y: x & y, same), "left_anti")
+    types = {f.name: f.dataType for f in found.schema.fields}
+    return found.union(rest.select(*[F.col(f"`{c}`") if c in kept.columns else F.lit(None).cast(types[c]).alias(c) for c in found.columns]))
+
+
 def join_asof(left: Frame, other: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, by=None, left_by=None, right_by=None, strategy: str = "backward", tolerance: Any = None, allow_exact_matches: bool = True, suffixes=("", "_right"), check_sorted: bool = False) -> Frame:
     """Each left row with the nearest right row by key: the last at or before, the first at or after, or the nearer.
 

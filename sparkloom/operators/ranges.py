@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 PART, ROW = "__ord_part", "__ord_row"
 
 
-def in_ranges(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """df sorted by keys, with the number of each row's range and its place there, from 0.
+def in_ranges(df: DataFrame, keys: list[Column], parts: int | None = None, within: list[Column] | None = None) -> DataFrame:
+    """df in ranges of keys (as many as parts, if given), each sorted by within or else by keys, with the number of each row's range and its place there, from 0.
 
     Spark samples the bounds of ranges for each plan anew, and merges small ranges for each plan on its own: two plans over
     one range partitioning may cut it differently, so that what one counts does not fit the other's rows. Here the shuffle
@@ -18,5 +18,5 @@ def in_ranges(df: DataFrame, keys: list[Column]) -> DataFrame:
     """
     spark = df.sparkSession
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    made = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({PART: F.spark_partition_id(), ROW: place})._jdf
+    made = df.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*(within or keys)).withColumns({PART: F.spark_partition_id(), ROW: place})._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(made.queryExecution().toRdd(), made.schema(), False), spark)

@@ -235,7 +235,7 @@ def join_options(t):
 
 @query("""SELECT s_suppkey, p_partkey FROM supplier LEFT JOIN part ON s_acctbal < p_retailprice AND s_suppkey < p_size""")
 def join_where_left(t):
-    return t("supplier").join_where(t("part"), col("s_acctbal") < col("p_retailprice"), col("s_suppkey") < col("p_size"), how="left").select("s_suppkey", "p_partkey")
+    return t("supplier").select("s_suppkey", "s_acctbal").join_where(t("part").select("p_partkey", "p_size", "p_retailprice"), col("s_acctbal") < col("p_retailprice"), col("s_suppkey") < col("p_size"), how="left").select("s_suppkey", "p_partkey")
 
 
 @query("""SELECT s_suppkey, p_partkey FROM supplier RIGHT JOIN part ON s_acctbal < p_retailprice AND s_suppkey < p_size""")

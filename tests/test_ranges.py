@@ -87,3 +87,46 @@ def test_calendar_and_right_closed_windows_are_keys(spark):
     g = sl.data(spark, {"i": [0, 1, 10, 11, 20, 25], "x": [1, 2, 4, 8, 16, 32]})
     assert g.group_by_dynamic("i", every=10, closed="right").agg(col("x").sum().alias("s")).to_dicts() == [{"i": -10, "s": 1}, {"i": 0, "s": 6}, {"i": 10, "s": 24}, {"i": 20, "s": 32}]
     assert g.group_by_dynamic("i", every=10, period=5, closed="right").agg(col("x").sum().alias("s")).to_dicts() == [{"i": 0, "s": 2}, {"i": 10, "s": 8}, {"i": 20, "s": 32}]  # 0, 10 and 20 lie in the gaps
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right"])
+def test_theta_join_meets_blocks_not_all_pairs(spark, how, monkeypatch):
+    from sparkloom.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 50)
+    rng = random.Random(how)
+    odd = lambda x: rng.choice([x] * 30 + [None, math.nan, 7.0, -0.0])
+    a = [(k, odd(rng.uniform(-50, 50)), rng.choice([None, 3, *range(400)])) for k in range(700)] + [(-1, 7.0, 3)] * 120
+    # equal compared values, of which the third predicate leaves only some a match
+    a += [(5000 + k, 1e6, 3) for k in range(20)] + [(6000, -60.0, 3)]
+    b = [(k, odd(rng.uniform(-50, 50)), rng.choice([None, 3.0, *map(float, range(-380, 40))])) for k in range(900)]
+    b += [(2000 + k, -60.0, 100.0) for k in range(20)] + [(3000, 1e6, 100.0)]
+    left = sl.Frame(spark.createDataFrame(a, "n long, x double, y int"), order_by="n")
+    right = sl.Frame(spark.createDataFrame(b, "n long, u double, v double"), order_by="n")
+    made = left.join_where(right, (col("x") <= col("u")) & (col("v") > col("y")), (col("n") + col("n_right")) % 7 != 3, how=how)
+    held = lambda p, q: None not in (*p, *q) and p[1] <= q[1] and q[2] > p[2] and (p[0] + q[0]) % 7 != 3
+    want = [(*p, *q) for p in a for q in b if held(p, q)]
+    if how == "left":
+        want += [(*p, None, None, None) for p in a if not any(held(p, q) for q in b)]
+    if how == "right":
+        want += [(None, None, None, *q) for q in b if not any(held(p, q) for p in a)]
+    plain = lambda r: str([x + 0.0 if isinstance(x, float) else x for x in r])
+    assert made.columns == ["n", "x", "y", "n_right", "u", "v"]
+    assert sorted(map(plain, made.df.collect())) == sorted(map(plain, want))
+
+
+def test_theta_join_of_many_rows_with_few_matches(spark):
+    a = sl.Frame(spark.range(400_000).select((F.col("id") * 3).alias("low"), (F.col("id") * 3 + 4).alias("high")), order_by="low")
+    b = sl.Frame(spark.range(400_000).select((F.col("id") * 3).alias("at")), order_by="at")
+    made = a.join_where(b, col("low") < col("at"), col("high") >= col("at"))  # 160,000,000,000 pairs
+    assert made.df.agg(F.count("*"), F.sum(F.col("at") - F.col("low"))).first()[:] == (399_999, 3 * 399_999)
+
+
+def test_theta_join_by_equal_values_stays_a_join_by_keys(spark, monkeypatch):
+    from sparkloom.operators import joins
+
+    monkeypatch.setattr(joins, "_theta", None)
+    a, b = sl.data(spark, {"k": [1, 1, 2], "x.y": [1, 5, 9]}), sl.data(spark, {"j": [1, 2], "z": [3, 3]})
+    assert a.join_where(b, col("k").eq(col("j")) & (col("x.y") < col("z"))).to_dicts() == [{"k": 1, "x.y": 1, "j": 1, "z": 3}]
+    monkeypatch.undo()
+    assert a.join_where(b, col("x.y") < col("z"), how="left").select("x.y", "j").to_dicts() == [{"x.y": 1, "j": 1}, {"x.y": 1, "j": 2}, {"x.y": 5, "j": None}, {"x.y": 9, "j": None}]
