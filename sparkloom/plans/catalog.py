@@ -201,7 +201,7 @@ def join_cross(t):
 
 @query("""SELECT s_suppkey, p_partkey, s_acctbal, p_retailprice FROM supplier, part WHERE s_acctbal < p_retailprice AND s_suppkey < p_size""")
 def join_where(t):
-    return t("supplier").join_where(t("part"), col("s_acctbal") < col("p_retailprice"), col("s_suppkey") < col("p_size")).select("s_suppkey", "p_partkey", "s_acctbal", "p_retailprice")
+    return t("supplier").select("s_suppkey", "s_acctbal").join_where(t("part").select("p_partkey", "p_size", "p_retailprice"), col("s_acctbal") < col("p_retailprice"), col("s_suppkey") < col("p_size")).select("s_suppkey", "p_partkey", "s_acctbal", "p_retailprice")
 
 
 def _purchases_clicks(t):
