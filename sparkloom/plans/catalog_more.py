@@ -240,7 +240,7 @@ def join_where_left(t):
 
 @query("""SELECT s_suppkey, p_partkey FROM supplier RIGHT JOIN part ON s_acctbal < p_retailprice AND s_suppkey < p_size""")
 def join_where_right(t):
-    return t("supplier").join_where(t("part"), col("s_acctbal") < col("p_retailprice"), col("s_suppkey") < col("p_size"), how="right").select("s_suppkey", "p_partkey")
+    return t("supplier").select("s_suppkey", "s_acctbal").join_where(t("part").select("p_partkey", "p_size", "p_retailprice"), col("s_acctbal") < col("p_retailprice"), col("s_suppkey") < col("p_size"), how="right").select("s_suppkey", "p_partkey")
 
 
 @query("""WITH a AS (SELECT event_id, user_id, date_trunc('day', ts) AS d FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id AS who, date_trunc('day', ts) AS on_day, max(event_id) AS click FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, click FROM a ASOF LEFT JOIN b ON user_id = who AND d > on_day""")
