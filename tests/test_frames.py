@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import sparkloom as sl
 from sparkloom import col
@@ -220,3 +221,25 @@ def test_entropy_of_weights(spark):
     frame = sl.data(spark, {"w": [1.0, 3.0, 0.0, None], "z": [0.0, None, -1.0, 0.0]})
     got = frame.select(sl.col("w").entropy(normalize=False).alias("w"), sl.col("z").entropy(normalize=False).alias("z")).to_dicts()[0]
     assert abs(got["w"] - (math.log(4) - 3 * math.log(3) / 4)) < 1e-12 and got["z"] is None
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_join_deals_out_keys_of_many_pairs(spark, how, monkeypatch):
+    from sparkloom.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    spread, in_cells = [], joins._in_cells
+    monkeypatch.setattr(joins, "_in_cells", lambda *x: spread.append(in_cells(*x)) or spread[-1])
+    keys = [None] * 40 + [float("nan")] * 30 + [1.0] * 20 + [2.0] * 5 + [3.0, 4.0]
+    a = sl.Frame(spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k double, n int"), order_by="n")
+    b = sl.Frame(spark.createDataFrame([(k if k != 3 else 5.0, 2, n) for n, k in enumerate(keys)], "k double, c int, m long"), order_by="m")
+    made = a.join(b, on="k", join_nulls=True, coalesce=False, how=how).df
+    key = lambda k: "nan" if k is not None and k != k else k
+    left, right = [(key(k), n) for n, k in enumerate(keys)], [(key(k) if k != 3 else 5.0, 2, n) for n, k in enumerate(keys)]
+    want = [(*p, *q) for p in left for q in right if p[0] == q[0]]
+    want += [(3.0, 95, None, None, None)] if how in ("left", "outer") else []
+    want += [(None, None, 5.0, 2, 95)] if how in ("right", "outer") else []
+    assert sorted(str((key(r[0]), r[1], key(r[2]), *r[3:])) for r in made.collect()) == sorted(map(str, want))
+    sizes = spread[0].filter("n is not null").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 1600  # one task had the 1600 pairs of null
+    assert a.join(b.filter(col("m") > 90), on="k", join_nulls=True).height == 5 * 4 + 1 and spread[1] is None
